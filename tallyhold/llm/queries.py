@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat_prefix_targets
+from .quality import OP3_SQL, op3_quality_divergence
 from .secrets import op1_secret_scan
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op4_chat_prefix_targets)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_quality_divergence, op4_chat_prefix_targets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_prefix_targets": OP4_SQL}
+    return {"op3_quality_divergence": OP3_SQL, "op4_chat_prefix_targets": OP4_SQL}
