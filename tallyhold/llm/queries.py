@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat_prefix_targets
+from .decontaminate import OP6_SQL, op6_decontaminate
+from .licenses import OP7_SQL, op7_license_diagonals
 from .quality import OP3_SQL, op3_quality_divergence
 from .secrets import op1_secret_scan
+from .simhash import op8_simhash_pigeonring
+
+ALL = (op1_secret_scan, op3_quality_divergence, op4_chat_prefix_targets, op6_decontaminate, op7_license_diagonals, op8_simhash_pigeonring)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op3_quality_divergence, op4_chat_prefix_targets)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_divergence": OP3_SQL, "op4_chat_prefix_targets": OP4_SQL}
+    return {"op3_quality_divergence": OP3_SQL, "op4_chat_prefix_targets": OP4_SQL, "op6_decontaminate": OP6_SQL, "op7_license_diagonals": OP7_SQL}
