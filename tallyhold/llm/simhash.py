@@ -22,6 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import common
 from .components import components
@@ -47,7 +48,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """As signed 64-bit numbers."""
     for batch in texts:
@@ -153,34 +154,24 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Adds to docs, in place of text: fp, the fingerprint as a signed number, and component_id, the least doc_id that links lead to."""
+    """Adds to docs, in place of text: fp, the fingerprint as a signed number, root, the component's least fingerprint, and component_id, the least doc_id that links lead to (null if none has one)."""
     marked = common.written(docs.withColumn("fp", fingerprints(F.col("text"))).drop("text"), "fingerprints")
     nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     ties = components(links(keyed(nodes)))
     placed = nodes.join(ties, nodes["fp"] == ties["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     reach = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(reach, "root").select(F.col("fp").alias("_fp"), "component_id")
+    by_fp = placed.join(reach, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
     return marked.join(by_fp, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component: its least doc_id, and of repeated rows of that one the least by content."""
-    from pyspark.sql import Window as W
-
     order = [c for c in docs.columns if c not in ("doc_id", "text")]
-    named = docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns)
-    whole = common.written(named, "documents")
+    whole = common.written(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "documents")
     slim = whole.select("_row", "doc_id", "text", F.struct(F.xxhash64("text"), *[F.col(c).cast("string") for c in order]).alias("_order"))
     found = near_duplicates(slim).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = found.withColumn("_n", F.row_number().over(W.partitionBy("component_id", "fp").orderBy("_order", "_row"))).filter("_n = 1")
-    best = first.groupBy("component_id", "doc_id").agg(F.min_by("_row", F.struct("_order", "_row")).alias("_row"))
-    ids = best.filter(F.col("doc_id").isNotNull()).select("_row").unionByName(_without_id(found))
-    return whole.join(ids, "_row", "left_semi").select(*docs.columns)
-
-
-def _without_id(found: DataFrame) -> DataFrame:
-    """Components whose documents all lack an id: one row of each fingerprint stays."""
-    return found.filter(F.col("doc_id").isNull()).groupBy("fp").agg(F.min_by("_row", F.struct("_order", "_row")).alias("_row")).select("_row")
+    best = found.groupBy("root").agg(F.min_by("_row", F.struct("_order", "_row")).alias("_row"))
+    return whole.join(best, "_row", "left_semi").select(*docs.columns)
 
 
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
