@@ -6,6 +6,7 @@ from .chat import OP4_SQL, op4_chat_prefix_targets
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .licenses import OP7_SQL, op7_license_diagonals
 from .lines import OP9_SQL, op9_line_templates
+from .lm import op10_language_model
 from .mixing import op5_mix_sources
 from .quality import OP3_SQL, op3_quality_divergence
 from .secrets import op1_secret_scan
@@ -22,6 +23,7 @@ ALL = (
     op7_license_diagonals,
     op8_simhash_pigeonring,
     op9_line_templates,
+    op10_language_model,
 )
 
 
