@@ -109,7 +109,8 @@ class Mix:
         """(shard, position, _source, block): every block of the mix in its place."""
         spark, seed = self.rows.sparkSession, self.seed
         plan = spark.createDataFrame(self.plan, "shard int, shard_size long, _source int, blocks long, first long, place long, n int")
-        each = plan.repartition("shard", "place").select("shard", "shard_size", "_source", "blocks", "first", "place", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+        # A fixed number of tasks, as the plan's few rows expand into many; the planner would put them into one.
+        each = plan.repartition(max(1, min(len(self.plan), int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard", "_source", "place").select("shard", "shard_size", "_source", "blocks", "first", "place", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
 
         @F.pandas_udf("struct<block:long,position:long>")
         def place(slot: pd.Series, blocks: pd.Series, source: pd.Series, at: pd.Series, size: pd.Series, shard: pd.Series) -> pd.DataFrame:
@@ -132,12 +133,12 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """(shard, position, _source, block, _row, from_word, words): the mix as pieces of rows, to be read in this order."""
-        return self.slots().join(self.pieces(), ["_source", "block"])
+        return self.pieces().join(self.slots().hint("merge"), ["_source", "block"])  # slots grow with the corpus, which their plan's size doesn't show
 
     def taken(self) -> DataFrame:
         """(doc_id, source, size, source_size, target, taken)."""
         uses = self.slots().groupBy("_source", "block").agg(F.count("*").alias("n"))
-        by_row = self.pieces().join(uses, ["_source", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("n")).alias("taken"))
+        by_row = self.pieces().join(uses.hint("merge"), ["_source", "block"]).groupBy("_row").agg(F.sum(F.col("words") * F.col("n")).alias("taken"))
         about = self.sources.select(F.col("source").alias("_name"), "source_size", "target")
         rows = self.rows.join(about, F.col("source").eqNullSafe(F.col("_name"))).join(by_row, "_row", "left")
         return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
