@@ -32,7 +32,7 @@ HEAD = 131_072
 HIDDEN, CLASSES, BAND = 16, 16, 16
 SYMBOLS = CLASSES * BAND
 END, REST = 0, 1
-WINDOW, LANES, ROUNDS, RATE, CLIP = 16, 256, 2, 0.01, 1.0
+WINDOW, LANES, ROUNDS, RATE, CLIP = 16, 512, 2, 0.015, 1.0
 #: Symbols that a task holds at once.
 HELD = 2_000_000
 SEED = 10
@@ -151,7 +151,7 @@ class Trainer:
             states.append(new)
             h = new
         _, dhs = _outputs(w, np.concatenate(states), y.ravel(), grad)
-        dhs, back = dhs.reshape(len(x), -1, HIDDEN), np.zeros_like(h)
+        dhs, back, inputs = dhs.reshape(len(x), -1, HIDDEN), np.zeros_like(h), []
         for t in range(len(x) - 1, -1, -1):
             before, (r, z, n, inner) = past[t]
             d = dhs[t] + back
@@ -162,10 +162,12 @@ class Trainer:
             dgx = np.concatenate([dr, dz, dn], axis=1)
             grad["U"] += before.T @ dgh
             grad["bn"] += dinner.sum(axis=0)
-            order = np.argsort(x[t], kind="stable")
-            ids, first = np.unique(x[t][order], return_index=True)
-            grad["E"][ids] += np.add.reduceat(dgx[order], first, axis=0)
+            inputs.append(dgx)
             back = (d * z + dgh @ w["U"].T) * (x[t] != END)[:, None]
+        ids = x[::-1].ravel()
+        order = np.argsort(ids, kind="stable")
+        ids, first = np.unique(ids[order], return_index=True)
+        grad["E"][ids] = np.add.reduceat(np.concatenate(inputs)[order], first, axis=0)
         self.adam(grad, y.size)
         return h
 
@@ -193,7 +195,7 @@ def log10_probabilities(w: dict[str, np.ndarray], texts: list[np.ndarray]) -> np
     """Of whole texts (symbols with their end). Lanes hold one text after another; the state runs through each from zero."""
     if not texts:
         return np.zeros(0)
-    lanes = min(2 * LANES, len(texts))
+    lanes = min(LANES, len(texts))
     sizes = [len(t) for t in texts]
     heap = [(0, k) for k in range(lanes)]
     own: list[list[int]] = [[] for _ in range(lanes)]
