@@ -234,7 +234,7 @@ class Model:
         self.counts = common.written(count_words(docs.filter(train)), "counts")
         total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = int(total.n), int(total.v)
-        top = self.counts.filter(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(HEAD).collect()
+        top = self._commonest(HEAD)
         self.ends = sum(r.n for r in self.counts.filter(F.octet_length("word") == 0).collect())
         head_n = np.array([r.n for r in top], np.int64)
         short = head_n[: SYMBOLS - 2]
@@ -250,6 +250,19 @@ class Model:
             weights = self._averaged(docs.filter(train & (F.coalesce(part, F.lit(0)) == k)), weights)
         self.weights = weights
 
+    def _commonest(self, most: int) -> list:
+        """The commonest words, no more than most: all whose count lies in the upper bands of a logarithmic histogram. Only its few bands and these words come to the driver."""
+        words = self.counts.filter(F.octet_length("word") > 0).withColumn("band", F.floor(F.log2("n") * 64).cast("int"))
+        total, low = 0, None
+        for r in words.groupBy("band").agg(F.count("*").alias("words")).orderBy(F.desc("band")).collect():
+            total += r.words
+            if total > most:
+                break
+            low = r.band
+        if low is None:
+            return []
+        return sorted(words.filter(F.col("band") >= low).collect(), key=lambda r: (-r.n, bytes(r.word)))
+
     def _averaged(self, docs: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         head = self.head
 
