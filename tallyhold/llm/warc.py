@@ -205,7 +205,8 @@ def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield frame(rows)
 
-    names = manifest.select("file").repartition(F.col("file"))
+    # A fixed number of tasks: the planner sees a few short rows, not the files that they name, and would read all in one task.
+    names = manifest.select("file").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
     return names.mapInPandas(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
