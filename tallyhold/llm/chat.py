@@ -16,6 +16,7 @@ other columns are dropped. One pass over sorted rows keeps a few counters, never
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,15 +27,23 @@ from . import common
 
 OPEN, BETWEEN, CLOSE = "### ", ": ", " </turn>\n"
 TARGET = "assistant"
-SEGMENT = r"(?s)^### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.)*) </turn>\n$"
+SEGMENT = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<]|\\.)*) </turn>\n", re.DOTALL)
 
 
 def escape(text: Column, role: bool = False) -> Column:
     return F.regexp_replace(text, r"([\\#<:])" if role else r"([\\#<])", r"\\$1")
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+def unescape(text: str) -> str:
+    return re.sub(r"(?s)\\(.)", r"\1", text)
+
+
+def parse(segment: str) -> tuple[str, str]:
+    """The role and text of a formatted turn."""
+    found = SEGMENT.fullmatch(segment)
+    if not found:
+        raise ValueError(f"not a formatted turn: {segment[:80]!r}")
+    return unescape(found[1]), unescape(found[2])
 
 
 def format_turns(df: DataFrame) -> DataFrame:
@@ -99,10 +108,7 @@ def render_examples(segments: DataFrame) -> DataFrame:
 
 def read_back(segments: DataFrame) -> DataFrame:
     """Parses the rows of expand_prefix_targets, and digests each conversation's turns and what its examples' loss masks cover."""
-    part = lambda i: unescape(F.regexp_extract("segment", SEGMENT, i))
-    masked = unescape(F.expr("substr(segment, target_start - at + 1, target_end - target_start)"))
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "at")
-    turns = ordered.select("conv_id", part(1).alias("role"), part(2).alias("text"), F.char_length("segment").alias("chars"), masked.alias("loss"))
+    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "at").select("conv_id", "segment", "at", "target_start", "target_end")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "expanded_chars"]
@@ -115,11 +121,13 @@ def read_back(segments: DataFrame) -> DataFrame:
                     if state is not None:
                         rows.append(close(state))
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                for role, text, chars, loss in zip(b["role"][part], b["text"][part], b["chars"][part], b["loss"][part], strict=True):
+                for segment, at, start, end in zip(b["segment"][part], b["at"][part], b["target_start"][part], b["target_end"][part], strict=True):
+                    role, text = parse(segment)
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
-                    state[5] += chars
-                    if loss is not None:
+                    state[5] += len(segment)
+                    if not pd.isna(start):
+                        loss = unescape(segment[int(start) - at : int(end) - at])
                         state[3] += len(loss)
                         state[4].update(loss.encode())
                         state[6] += 1
@@ -128,7 +136,7 @@ def read_back(segments: DataFrame) -> DataFrame:
         if state is not None:
             yield pd.DataFrame([close(state)], columns=columns).astype({"conv_id": "Int64"})
 
-    return turns.mapInPandas(fold, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long")
+    return ordered.mapInPandas(fold, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long")
 
 
 def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,4 +27,6 @@ def test_examples_and_edges(spark):
     assert back[1].n_turns == 4 and back[1].loss_chars == len(data[1][3]) + 2
     assert back[1].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3] or ''}\n" for r in data[:4]).encode()).hexdigest()
     assert back[None].n_turns == 1 and back[2].n_turns == 2 and back[3].n_examples == 1
+    long = spark.createDataFrame([(1, 0, "assistant", "a#b\\" * 300_000)], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.expand_prefix_targets(chat.format_turns(long))).first().loss_chars == 1_200_000
     assert chat.read_back(chat.expand_prefix_targets(chat.format_turns(df.limit(0)))).count() == 0
