@@ -18,6 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,10 @@ from . import common
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 64
-SHARD_BLOCKS = 65_536
+#: About 100 MB of text, so the driver's draws come to one row for each source and 100 MB.
+SHARD_BLOCKS = 262_144
 SEED = 20_260
-#: Slots of one plan row, so that a row never expands into more.
+#: Slots that one row expands into, at most.
 CHUNK = 4096
 
 
@@ -96,21 +98,25 @@ class Mix:
         blocks = [-(-t // block) for _, t in totals]
         quotas = [min(MOST * b, round(g * b / t)) if t else 0 for (_, t), g, b in zip(totals, goals, blocks, strict=True)]
         self.sources = spark.createDataFrame([(i, s, t, g, b) for i, ((s, t), g, b) in enumerate(zip(totals, goals, blocks, strict=True))], "_source int, source string, source_size long, target double, blocks long")
-        self.plan, at = [], [0] * len(totals)
-        for shard, counts in draws(quotas, shard_blocks, seed):
-            place = 0
-            for i, n in enumerate(counts):
-                for low in range(0, n, CHUNK):
-                    self.plan.append((shard, sum(counts), i, blocks[i], at[i] + low, place + low, min(CHUNK, n - low)))
-                at[i] += n
-                place += n
+        counts = [row for _, row in draws(quotas, shard_blocks, seed)]
+        drawn = np.array(counts, np.int64).reshape(len(counts), len(totals))
+        shard, source = np.nonzero(drawn)
+        before = lambda axis: (np.cumsum(drawn, axis=axis) - drawn)[shard, source]
+        self.chunks = int((-(-drawn // CHUNK)).sum())
+        self.plan = pa.table({
+            "shard": shard.astype(np.int32), "shard_size": drawn.sum(axis=1)[shard], "_source": source.astype(np.int32), "blocks": np.array(blocks, np.int64)[source],
+            "first": before(0), "place": before(1), "n": drawn[shard, source],
+        })
 
     def slots(self) -> DataFrame:
         """(shard, position, _source, block): every block of the mix in its place."""
         spark, seed = self.rows.sparkSession, self.seed
-        plan = spark.createDataFrame(self.plan, "shard int, shard_size long, _source int, blocks long, first long, place long, n int")
+        low = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1, F.lit(CHUNK))).alias("low")
+        chunks = spark.createDataFrame(self.plan).select("shard", "shard_size", "_source", "blocks", "first", "place", "n", low)
         # A fixed number of tasks, as the plan's few rows expand into many; the planner would put them into one.
-        each = plan.repartition(max(1, min(len(self.plan), int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard", "_source", "place").select("shard", "shard_size", "_source", "blocks", "first", "place", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+        spread = chunks.repartition(max(1, min(self.chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard", "_source", "low")
+        last = F.least(F.col("low") + CHUNK, F.col("n")).cast("int") - 1
+        each = spread.select("shard", "shard_size", "_source", "blocks", "first", "place", F.explode(F.sequence("low", last)).alias("k"))
 
         @F.pandas_udf("struct<block:long,position:long>")
         def place(slot: pd.Series, blocks: pd.Series, source: pd.Series, at: pd.Series, size: pd.Series, shard: pd.Series) -> pd.DataFrame:
