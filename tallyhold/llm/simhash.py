@@ -10,7 +10,7 @@ then keep the budget of the longer chains, and only those that do are compared i
 Documents of equal fingerprint are counted as one node before any pairing. Within a key, fingerprints
 are compared at growing offsets in their order, and of the links found only those that tie together what
 wasn't yet tied are kept; a large group thus yields as many links as it has members, not their square,
-and loses no connection. Null and empty texts have fingerprint zero, linked like any other.
+and loses no connection; a key is left as soon as all in it are tied. Null and empty texts have fingerprint zero, linked like any other.
 """
 
 from __future__ import annotations
@@ -111,6 +111,8 @@ def links_in_batch(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> list[t
     ties = _Ties(len(key))
     _, node = np.unique(fp, return_inverse=True)
     label = np.arange(node.max() + 1)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
     live, offset = np.flatnonzero(key[1:] == key[:-1]), 1
     while len(live):
         other = live + offset
@@ -128,6 +130,9 @@ def links_in_batch(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> list[t
                     found.append((i, j))
             if ok.any():
                 label = ties.flat()[: len(label)]
+                of_rows = label[node]
+                tied = np.minimum.reduceat(of_rows, starts) == np.maximum.reduceat(of_rows, starts)
+                live = live[~tied[group[live]]]  # a key whose rows are all tied has nothing left to find
         offset += 1
         live = live[live + offset < len(key)]
         live = live[key[live] == key[live + offset]]
