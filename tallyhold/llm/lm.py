@@ -103,33 +103,35 @@ def _step(w, x: np.ndarray, h: np.ndarray):
 
 
 def _softmax(a: np.ndarray) -> np.ndarray:
-    a = np.exp(a - a.max(axis=1, keepdims=True))
-    return a / a.sum(axis=1, keepdims=True)
+    """Over the first axis, so that the sums run along memory."""
+    a = np.exp(a - a.max(axis=0))
+    return a / a.sum(axis=0)
 
 
 def _outputs(w, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Natural log-probabilities of symbols y at states h; with grad, adds the weights' gradients of the loss and returns that of h too."""
     cls, member, rows = y // BAND, y % BAND, np.arange(len(y))
-    p = _softmax(h @ w["Wc"] + w["bc"])
-    logp = np.log(p[rows, cls])
+    p = _softmax(w["Wc"].T @ h.T + w["bc"][:, None])
+    logp = np.log(p[cls, rows])
     dh = None
     if grad is not None:
-        p[rows, cls] -= 1
-        grad["Wc"] += h.T @ p
-        grad["bc"] += p.sum(axis=0)
-        dh = p @ w["Wc"].T
+        p[cls, rows] -= 1
+        grad["Wc"] += (p @ h).T
+        grad["bc"] += p.sum(axis=1)
+        dh = p.T @ w["Wc"].T
     order = np.argsort(cls, kind="stable")
     edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         own = order[edges[c] : edges[c + 1]]
         if len(own):
-            q, at = _softmax(h[own] @ w["Ww"][c] + w["bw"][c]), np.arange(len(own))
-            logp[own] += np.log(q[at, member[own]])
+            some, at = h[own], np.arange(len(own))
+            q = _softmax(w["Ww"][c].T @ some.T + w["bw"][c][:, None])
+            logp[own] += np.log(q[member[own], at])
             if grad is not None:
-                q[at, member[own]] -= 1
-                grad["Ww"][c] += h[own].T @ q
-                grad["bw"][c] += q.sum(axis=0)
-                dh[own] += q @ w["Ww"][c].T
+                q[member[own], at] -= 1
+                grad["Ww"][c] += (q @ some).T
+                grad["bw"][c] += q.sum(axis=1)
+                dh[own] += q.T @ w["Ww"][c].T
     return logp, dh
 
 
@@ -312,7 +314,7 @@ class Model:
                     words = tokens(text)
                     at, ids = symbols(places, words)
                     known = at[at >= 0]
-                    tail = Counter(w for w, i in zip(words, at, strict=True) if i < 0)
+                    tail = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
                     values = log_counts[known]
                     rows.append((len(ids), len(known), float(values.sum()), float(values[known >= SYMBOLS - 2].sum()), int((ids == REST).sum()), list(tail.keys()), list(tail.values())))
                     texts.append(ids)
