@@ -1,11 +1,12 @@
 """Language-model scores: a gated recurrent network over words, with a class-factored output.
 
-Symbols are the end of a text, the commonest training words, and one symbol for all other words, within
-which a word has its add-one share of the training counts; so every text has a proper probability. The
-network is a gated recurrent unit; its output is P(class) P(symbol | class), classes being bands of the
-symbols by frequency. It learns from every training document by truncated backpropagation in numpy:
-each task trains a copy on its documents, and the copies are averaged by tokens, in ``ROUNDS`` rounds over
-disjoint parts of the documents. Scoring carries the state through the whole text, across windows.
+Symbols are the end of a text, the ``HEAD`` commonest training words, and one symbol for all other words,
+within which a word has its add-one share of the training counts; so every text has a proper probability.
+The network is a gated recurrent unit; its output is P(class) P(symbol | class), classes being bands of the
+symbols by frequency, about as many as a band has symbols. It learns from every training document by truncated
+backpropagation in numpy: each task trains a copy on its documents, and the copies are averaged by tokens, in
+``ROUNDS`` rounds over disjoint parts of the documents; a task sends what it changed, of the input weights only
+the rows of words it met. Scoring carries the state through the whole text, across windows.
 
 Counts are of all training documents and stay in a table. Only the ``HEAD`` commonest words go to the tasks;
 how often any rarer word occurs is found by a join. Null and empty texts consist of their end alone; a
@@ -15,9 +16,10 @@ null doc_id has the empty text's remainder; repeated rows count as often as they
 from __future__ import annotations
 
 import heapq
+import math
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -29,10 +31,15 @@ from pyspark.sql.types import StructType
 from . import common
 
 HEAD = 131_072
-HIDDEN, CLASSES, BAND = 16, 16, 16
-SYMBOLS = CLASSES * BAND
+HIDDEN = 16
+#: Symbols of the smallest network; a larger vocabulary has a larger one.
+SYMBOLS = 256
 END, REST = 0, 1
 WINDOW, LANES, ROUNDS, RATE, CLIP = 16, 512, 2, 0.015, 1.0
+#: Rows of a softmax, and weights of an Adam step, that are worked on at once, so that they stay in the cache.
+BLOCK, SLAB = 512, 16_384
+#: Averages are exact sums of multiples of this, so the order of the tasks doesn't matter.
+UNIT = 2.0**-24
 #: Symbols that a task holds at once.
 HELD = 2_000_000
 SEED = 10
@@ -65,31 +72,53 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-SHAPES = {"E": (SYMBOLS, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "bn": (HIDDEN,), "Wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "Ww": (CLASSES, HIDDEN, BAND), "bw": (CLASSES, BAND)}
+def shapes(symbols: int) -> dict[str, tuple[int, ...]]:
+    """Of a network for at least so many symbols: about the square root of them in classes."""
+    classes = math.isqrt(max(symbols, SYMBOLS) - 1) + 1
+    band = -(-max(symbols, SYMBOLS) // classes)
+    return {"E": (classes * band, 3 * HIDDEN), "U": (HIDDEN, 3 * HIDDEN), "bn": (HIDDEN,), "Wc": (HIDDEN, classes), "bc": (classes,), "Ww": (classes, HIDDEN, band), "bw": (classes, band)}
+
+
+SHAPES = shapes(SYMBOLS)
 
 
 def start_weights(symbol_counts: np.ndarray) -> dict[str, np.ndarray]:
     """Small random weights; the output's biases give the symbols' training shares."""
     rng = np.random.Generator(np.random.Philox(SEED))
-    w = {k: (0.1 * rng.standard_normal(s)).astype(np.float32) for k, s in SHAPES.items()}
-    share = (symbol_counts + 1.0) / (symbol_counts.sum() + SYMBOLS)
-    by_class = share.reshape(CLASSES, BAND)
+    w = {k: (0.1 * rng.standard_normal(s, np.float32)) for k, s in shapes(len(symbol_counts)).items()}
+    share = (symbol_counts + 1.0) / (symbol_counts.sum() + len(symbol_counts))
+    by_class = share.reshape(w["bw"].shape)
     w["bc"][:] = np.log(by_class.sum(axis=1))
     w["bw"][:] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
     return w
 
 
-def flat(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float64)
+SMALL = ("U", "bn", "Wc", "bc")
+
 
+def changes(new: dict[str, np.ndarray], old: dict[str, np.ndarray], met: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(place, differences): -1 for the small weights, then the input weights of the symbols met, then the output weights of each class. As half floats, since these are most of what is shuffled."""
+    n = len(old["E"])
+    yield -1, np.concatenate([(new[k] - old[k]).ravel() for k in SMALL]).astype(np.float16).tobytes()
+    for i in np.flatnonzero(met).tolist():
+        yield i, (new["E"][i] - old["E"][i]).astype(np.float16).tobytes()
+    for c in range(len(old["Ww"])):
+        yield n + c, np.concatenate([(new[k][c] - old[k][c]).ravel() for k in ("Ww", "bw")]).astype(np.float16).tobytes()
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = values[at : at + n].reshape(s).astype(np.float32)
-        at += n
-    return out
+
+def changed(old: dict[str, np.ndarray], found: Iterable[tuple[int, np.ndarray]]) -> dict[str, np.ndarray]:
+    """old with differences, placed as changes() places them, added."""
+    w = {k: v.copy() for k, v in old.items()}
+    n = len(w["E"])
+    for place, d in found:
+        if 0 <= place < n:
+            w["E"][place] += d
+            continue
+        at = 0
+        for part in [w[k] for k in SMALL] if place < 0 else [w[k][place - n] for k in ("Ww", "bw")]:
+            part += d[at : at + part.size].reshape(part.shape)
+            at += part.size
+    return w
 
 
 def _step(w, x: np.ndarray, h: np.ndarray):
@@ -102,37 +131,49 @@ def _step(w, x: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (r, z, n, inner)
 
 
-def _softmax(a: np.ndarray) -> np.ndarray:
-    """Over the first axis, so that the sums run along memory."""
-    a = np.exp(a - a.max(axis=0))
-    return a / a.sum(axis=0)
+def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, y: np.ndarray, grad: tuple | None = None):
+    """Log-probabilities of y at states h; with grad (of weights and bias), adds to it and returns that of h too. Over the first axis, so that the sums run along memory."""
+    at, ones = np.arange(len(y)), np.ones(max(len(bias), len(y)), h.dtype)
+    a = weights.T @ h.T
+    a += bias[:, None]
+    a -= a.max(axis=0)
+    logp = a[y, at]
+    np.exp(a, out=a)
+    total = ones[: len(a)] @ a
+    logp -= np.log(total)
+    if grad is None:
+        return logp, None
+    a *= 1 / total
+    a[y, at] -= 1
+    grad[0][...] += (a @ h).T
+    grad[1][...] += a @ ones[: len(y)]
+    return logp, a.T @ weights.T
 
 
 def _outputs(w, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Natural log-probabilities of symbols y at states h; with grad, adds the weights' gradients of the loss and returns that of h too."""
-    cls, member, rows = y // BAND, y % BAND, np.arange(len(y))
-    p = _softmax(w["Wc"].T @ h.T + w["bc"][:, None])
-    logp = np.log(p[cls, rows])
-    dh = None
-    if grad is not None:
-        p[cls, rows] -= 1
-        grad["Wc"] += (p @ h).T
-        grad["bc"] += p.sum(axis=1)
-        dh = p.T @ w["Wc"].T
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        own = order[edges[c] : edges[c + 1]]
-        if len(own):
-            some, at = h[own], np.arange(len(own))
-            q = _softmax(w["Ww"][c].T @ some.T + w["bw"][c][:, None])
-            logp[own] += np.log(q[member[own], at])
+    classes, _, band = w["Ww"].shape
+    order = np.argsort(y // band, kind="stable")
+    states, cls, member = h[order], (y // band)[order], (y % band)[order]
+    logp, dh = np.empty(len(y), h.dtype), np.empty_like(h) if grad is not None else None
+    for low in range(0, len(y), BLOCK):
+        part = slice(low, low + BLOCK)
+        logp[part], d = _softmax(w["Wc"], w["bc"], states[part], cls[part], grad and (grad["Wc"], grad["bc"]))
+        if grad is not None:
+            dh[part] = d
+    edges = np.searchsorted(cls, np.arange(classes + 1))
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        for low in range(int(edges[c]), int(edges[c + 1]), BLOCK):
+            part = slice(low, min(low + BLOCK, int(edges[c + 1])))
+            more, d = _softmax(w["Ww"][c], w["bw"][c], states[part], member[part], grad and (grad["Ww"][c], grad["bw"][c]))
+            logp[part] += more
             if grad is not None:
-                q[member[own], at] -= 1
-                grad["Ww"][c] += (q @ some).T
-                grad["bw"][c] += q.sum(axis=1)
-                dh[own] += q.T @ w["Ww"][c].T
-    return logp, dh
+                dh[part] += d
+    out, back = np.empty_like(logp), np.empty_like(h) if grad is not None else None
+    out[order] = logp
+    if grad is not None:
+        back[order] = dh
+    return out, back
 
 
 class Trainer:
@@ -140,12 +181,16 @@ class Trainer:
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w = {k: v.copy() for k, v in weights.items()}
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+        self.m, self.v, self.grad = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(3))
         self.steps = 0
+        #: The symbols of the last window, whose input weights alone have gradients, and how many steps each symbol's had.
+        self.rows, self.row_steps = np.zeros(0, np.int64), np.zeros(len(weights["E"]), np.int64)
 
     def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
         """x, y: (time, lanes) of inputs and what follows them; h: the state before. Returns the state after."""
-        w, grad, past, states = self.w, {k: np.zeros_like(v) for k, v in self.w.items()}, [], []
+        w, grad, past, states = self.w, self.grad, [], []
+        for k, g in grad.items():
+            g[self.rows if k == "E" else ...] = 0
         for t in range(len(x)):
             h = h * (x[t] != END)[:, None]
             new, gates = _step(w, x[t], h)
@@ -169,18 +214,32 @@ class Trainer:
         ids = x[::-1].ravel()
         order = np.argsort(ids, kind="stable")
         ids, first = np.unique(ids[order], return_index=True)
+        self.rows = ids
         grad["E"][ids] = np.add.reduceat(np.concatenate(inputs)[order], first, axis=0)
         self.adam(grad, y.size)
         return h
 
     def adam(self, grad: dict[str, np.ndarray], n: int) -> None:
         self.steps += 1
+        self.row_steps[self.rows] += 1
+
+        def step(g, m, v, steps):
+            g = np.clip(g * np.float32(LANES / n), -CLIP, CLIP)
+            m += np.float32(0.1) * (g - m)
+            v += np.float32(0.001) * (g * g - v)
+            fix = np.asarray(RATE / (1 - 0.9**steps), np.float32)
+            return fix * m / (np.sqrt(v / np.asarray(1 - 0.999**steps, np.float32)) + np.float32(1e-6))
+
         for k, g in grad.items():
-            g = np.clip(g * (LANES / n), -CLIP, CLIP)
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            step = self.m[k] / (1 - 0.9**self.steps) / (np.sqrt(self.v[k] / (1 - 0.999**self.steps)) + 1e-6)
-            self.w[k] -= (RATE * step).astype(np.float32)
+            if k == "E":
+                m, v = self.m[k][self.rows], self.v[k][self.rows]
+                self.w[k][self.rows] -= step(g[self.rows], m, v, self.row_steps[self.rows][:, None])
+                self.m[k][self.rows], self.v[k][self.rows] = m, v
+                continue
+            flat = [x[k].reshape(-1) for x in (self.w, grad, self.m, self.v)]
+            for low in range(0, g.size, SLAB):
+                w, *rest = (x[low : low + SLAB] for x in flat)
+                w -= step(*rest, self.steps)
 
     def learn(self, stream: np.ndarray) -> None:
         """stream: texts' symbols, each text with its end."""
@@ -237,14 +296,14 @@ class Model:
         total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = int(total.n), int(total.v)
         top = self._commonest(HEAD)
+        size = shapes(len(top) + 2)["E"][0]
         self.ends = sum(r.n for r in self.counts.filter(F.octet_length("word") == 0).collect())
         head_n = np.array([r.n for r in top], np.int64)
-        short = head_n[: SYMBOLS - 2]
-        symbol_counts = np.zeros(SYMBOLS)
-        symbol_counts[END], symbol_counts[2 : 2 + len(short)] = self.ends, short
+        symbol_counts = np.zeros(size)
+        symbol_counts[END], symbol_counts[2 : 2 + len(top)] = self.ends, head_n
         symbol_counts[REST] = max(0, self.n - symbol_counts.sum())
         #: What the add-one counts of the other words, and one for all unseen ones, come to.
-        self.rest = float(symbol_counts[REST] + max(0, self.v - len(short) - (self.ends > 0)) + 1)
+        self.rest = float(symbol_counts[REST] + max(0, self.v - len(top) - (self.ends > 0)) + 1)
         self.head = spark.sparkContext.broadcast(({bytes(r.word): i for i, r in enumerate(top)}, head_n))
         weights = start_weights(symbol_counts)
         part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
@@ -266,11 +325,11 @@ class Model:
         return sorted(words.filter(F.col("band") >= low).collect(), key=lambda r: (-r.n, bytes(r.word)))
 
     def _averaged(self, docs: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        head = self.head
+        head, old = self.head, docs.sparkSession.sparkContext.broadcast(weights)
 
         def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places, _ = head.value
-            trainer, held, n, total = Trainer(weights), [], 0, 0
+            trainer, held, n, total = Trainer(old.value), [], 0, 0
             for b in batches:
                 for t in b["text"]:
                     held.append(symbols(places, tokens(t))[1])
@@ -281,20 +340,29 @@ class Model:
             if held:
                 trainer.learn(np.concatenate(held))
             if total + n:
-                yield pd.DataFrame({"place": np.arange(len(values := flat(trainer.w)), dtype=np.int32), "value": values * (total + n), "tokens": total + n})
+                rows = changes(trainer.w, old.value, trainer.row_steps > 0)
+                while some := list(islice(rows, 4096)):
+                    yield pd.DataFrame(some, columns=["place", "value"]).assign(tokens=total + n)
 
-        sums = docs.select("text").mapInPandas(train, "place int, value double, tokens long").groupBy("place").agg(F.sum(F.col("value").cast("decimal(38,9)")).alias("value"), F.sum("tokens").alias("tokens"))
-        rows = sums.collect()  # as many as the network has weights
-        if not rows:
-            return weights
-        values = np.zeros(len(rows))
-        for r in rows:
-            values[r.place] = float(r.value) / r.tokens
-        return unflat(values)
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[int, np.ndarray] = {}
+            counts: Counter = Counter()
+            for b in batches:
+                for place, value, n in zip(b["place"], b["value"], b["tokens"], strict=True):
+                    one = np.rint(np.frombuffer(value, np.float16).astype(np.float64) * (n / UNIT)).astype(np.int64)
+                    sums[place] = sums[place] + one if place in sums else one
+                    counts[place] += n
+            yield pd.DataFrame({"place": list(sums), "value": [(x * UNIT).astype(np.float32).tobytes() for x in sums.values()], "tokens": [counts[k] for k in sums]})
+
+        sent = docs.select("text").mapInPandas(train, "place int, value binary, tokens long").repartition("place")
+        rows = sent.mapInPandas(add, "place int, value binary, tokens long").collect()  # as many as the network has rows
+        old.destroy()  # its copies are files on every machine
+        all_tokens = max((r.tokens for r in rows), default=1)  # the small weights come from every task
+        return changed(weights, ((r.place, np.frombuffer(r.value, np.float32) / np.float32(all_tokens)) for r in rows))
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Adds to docs, in place of text: n_tokens, n_known, base_score and score."""
-        head, weights = self.head, self.weights
+        head, fitted = self.head, docs.sparkSession.sparkContext.broadcast(self.weights)
         others = [c for c in docs.columns if c != "text"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +373,7 @@ class Model:
             def flush() -> pa.RecordBatch:
                 same = pa.Table.from_batches(kept).combine_chunks()
                 found = zip(*rows, strict=True) if rows else [[]] * len(kinds)
-                own = [pa.array(list(v), t) for v, t in zip([*found, log10_probabilities(weights, texts)], [*kinds, pa.float64()], strict=True)]
+                own = [pa.array(list(v), t) for v, t in zip([*found, log10_probabilities(fitted.value, texts)], [*kinds, pa.float64()], strict=True)]
                 return pa.RecordBatch.from_arrays([*(same.column(c).combine_chunks() for c in same.column_names), *own], names=[*same.column_names, *names])
 
             for b in batches:
@@ -316,7 +384,7 @@ class Model:
                     known = at[at >= 0]
                     tail = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
                     values = log_counts[known]
-                    rows.append((len(ids), len(known), float(values.sum()), float(values[known >= SYMBOLS - 2].sum()), int((ids == REST).sum()), list(tail.keys()), list(tail.values())))
+                    rows.append((len(ids), len(known), float(values.sum()), int((ids == REST).sum()), list(tail.keys()), list(tail.values())))
                     texts.append(ids)
                     n += len(ids)
                 if n >= HELD:
@@ -325,10 +393,10 @@ class Model:
             if rows:
                 yield flush()
 
-        names = ["n_tokens", "head_known", "head_all", "head_rest", "rest", "tail", "times", "network"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        names = ["n_tokens", "head_known", "head_all", "rest", "tail", "times", "network"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
         numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_doc"), "text")
-        schema = StructType([*numbered.drop("text").schema, *StructType.fromDDL("n_tokens long, head_known long, head_all double, head_rest double, rest long, tail array<binary>, times array<long>, network double")])
+        schema = StructType([*numbered.drop("text").schema, *StructType.fromDDL("n_tokens long, head_known long, head_all double, rest long, tail array<binary>, times array<long>, network double")])
         found = common.written(numbered.mapInArrow(run, schema), "scores")
         tail = found.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("_row", F.col("t.tail").alias("word"), F.col("t.times").alias("times")).join(self.counts, "word")
         by_row = tail.groupBy("_row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.round(F.log10(F.col("n") + 1) * SCALE).cast("long")).alias("tail_all"))
@@ -337,7 +405,7 @@ class Model:
         ends = float(np.log10(self.ends + 1))
         known = F.col("head_known") + F.coalesce("tail_known", nothing) + F.lit(1 if self.ends else 0)
         base = F.col("head_all") + more + F.lit(ends) - F.col("n_tokens") * F.lit(float(np.log10(self.n + self.v + 1)))
-        score = F.col("network") + F.col("head_rest") + more - F.col("rest") * F.lit(float(np.log10(self.rest)))
+        score = F.col("network") + more - F.col("rest") * F.lit(float(np.log10(self.rest)))
         joined = found.drop("tail", "times").join(by_row, "_row", "left")
         return joined.select("_doc.*", "n_tokens", known.alias("n_known"), F.round(base, 9).alias("base_score"), F.round(score, 4).alias("score"))
 
@@ -345,8 +413,8 @@ class Model:
 def symbols(places: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Places in the head (-1: not there), and the text's symbols with its end."""
     at = np.fromiter(map(places.get, words, repeat(-1)), np.int64, len(words))
-    ids = np.full(len(words) + 1, END, np.int16)
-    ids[:-1] = np.where((at >= 0) & (at < SYMBOLS - 2), at + 2, REST)
+    ids = np.full(len(words) + 1, END, np.int32)
+    ids[:-1] = np.where(at >= 0, at + 2, REST)
     return at, ids
 
 

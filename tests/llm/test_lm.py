@@ -74,3 +74,29 @@ def test_edges(spark):
     empty = docs.limit(0)
     assert lm.Model(empty, F.lit(True)).score(empty).count() == 0
     assert lm.Model(empty, F.lit(True)).score(docs).count() == 5
+
+
+def test_every_head_word_is_a_symbol_of_its_own(spark):
+    words = [f"w{i}" for i in range(600)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(60)], "doc_id long, text string")
+    model = lm.Model(docs, F.lit(True))
+    places, _ = model.head.value
+    _, ids = lm.symbols(places, [w.encode() for w in words])
+    assert len(set(ids[:-1].tolist())) == 600 and lm.REST not in ids
+    classes, _, band = model.weights["Ww"].shape
+    assert classes * band >= 602 and abs(classes - band) <= 1
+    met = np.ones(len(model.weights["E"]), bool)
+    more = {k: v + np.float32(0.5) for k, v in model.weights.items()}
+    back = lm.changed(model.weights, ((place, np.frombuffer(d, np.float16)) for place, d in lm.changes(more, model.weights, met)))
+    assert all(np.allclose(back[k], more[k], atol=1e-3) for k in more)
+
+
+def test_score_of_a_rare_word_depends_on_its_context():
+    rng = np.random.default_rng(2)
+    stream = np.concatenate([[*np.repeat(rng.integers(300, 600, 30), 2), lm.END] for _ in range(800)]).astype(np.int32)
+    trainer = lm.Trainer(lm.start_weights(np.ones(lm.shapes(602)["E"][0])))
+    for _ in range(6):
+        trainer.learn(stream)
+    p = lambda *ids: lm.log10_probabilities(trainer.w, [np.array([*ids, lm.END], np.int32)])[0]
+    pairs = [(i, 899 - i) for i in range(300, 450)]
+    assert np.mean([p(i, i) + p(k, k) - p(i, k) - p(k, i) for i, k in pairs]) > 0.1
