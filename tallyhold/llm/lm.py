@@ -186,8 +186,9 @@ class Trainer:
         #: The symbols of the last window, whose input weights alone have gradients, and how many steps each symbol's had.
         self.rows, self.row_steps = np.zeros(0, np.int64), np.zeros(len(weights["E"]), np.int64)
 
-    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """x, y: (time, lanes) of inputs and what follows them; h: the state before. Returns the state after."""
+    def window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, live: np.ndarray | None = None) -> np.ndarray:
+        """x, y: (time, lanes) of inputs and what follows them, learnt where live; h: the state before. Returns the state after."""
+        live = np.ones(y.shape, bool) if live is None else live
         w, grad, past, states = self.w, self.grad, [], []
         for k, g in grad.items():
             g[self.rows if k == "E" else ...] = 0
@@ -197,8 +198,9 @@ class Trainer:
             past.append((h, gates))
             states.append(new)
             h = new
-        _, dhs = _outputs(w, np.concatenate(states), y.ravel(), grad)
-        dhs, back, inputs = dhs.reshape(len(x), -1, HIDDEN), np.zeros_like(h), []
+        states, back, inputs = np.stack(states), np.zeros_like(h), []
+        dhs = np.zeros_like(states)
+        _, dhs[live] = _outputs(w, states[live], y[live], grad)
         for t in range(len(x) - 1, -1, -1):
             before, (r, z, n, inner) = past[t]
             d = dhs[t] + back
@@ -216,7 +218,7 @@ class Trainer:
         ids, first = np.unique(ids[order], return_index=True)
         self.rows = ids
         grad["E"][ids] = np.add.reduceat(np.concatenate(inputs)[order], first, axis=0)
-        self.adam(grad, y.size)
+        self.adam(grad, int(live.sum()))
         return h
 
     def adam(self, grad: dict[str, np.ndarray], n: int) -> None:
@@ -244,12 +246,14 @@ class Trainer:
     def learn(self, stream: np.ndarray) -> None:
         """stream: texts' symbols, each text with its end."""
         lanes = min(LANES, max(1, len(stream) // (2 * WINDOW)))
-        n = len(stream) // lanes
-        y = stream[: n * lanes].reshape(lanes, n).T
-        x = np.concatenate([[END], stream[: n * lanes - 1]]).reshape(lanes, n).T
+        n, longer = divmod(len(stream), lanes)  # the first lanes have one symbol more
+        live = np.arange(n + (longer > 0)) < n + (np.arange(lanes) < longer)[:, None]
+        x, y = np.full(live.shape, END), np.full(live.shape, END)
+        x[live], y[live] = np.concatenate([[END], stream[:-1]]), stream
         h = np.zeros((lanes, HIDDEN), np.float32)
         for t in range(0, n, WINDOW):
-            h = self.window(x[t : t + WINDOW], y[t : t + WINDOW], h)
+            part = np.s_[:, t : t + WINDOW if t + WINDOW < n else None]
+            h = self.window(x[part].T, y[part].T, h, live[part].T)
 
 
 def log10_probabilities(w: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:

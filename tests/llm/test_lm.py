@@ -100,3 +100,12 @@ def test_score_of_a_rare_word_depends_on_its_context():
     p = lambda *ids: lm.log10_probabilities(trainer.w, [np.array([*ids, lm.END], np.int32)])[0]
     pairs = [(i, 899 - i) for i in range(300, 450)]
     assert np.mean([p(i, i) + p(k, k) - p(i, k) - p(k, i) for i, k in pairs]) > 0.1
+
+
+def test_every_symbol_of_a_stream_is_learnt():
+    for n in (1, 31, 33, 1000, 512 * 32 + 511, 512 * 33 + 1):
+        trainer, seen = lm.Trainer(lm.start_weights(np.ones(lm.SYMBOLS))), []
+        trainer.adam = lambda grad, n, seen=seen: seen.append((n, float(np.abs(grad["bw"]).sum())))
+        stream = np.random.default_rng(n).integers(0, lm.SYMBOLS, n).astype(np.int32)
+        trainer.learn(stream)
+        assert sum(k for k, _ in seen) == n and all(g > 0 for _, g in seen)
