@@ -241,16 +241,16 @@ class Scanner:
         self.backward = [compile_rules([reverse(t)], False) for t in trees]
 
     @staticmethod
-    def furthest(automaton: Automaton, data: bytes) -> int:
-        """The length of the longest prefix that the automaton accepts, 0 if none."""
+    def furthest(automaton: Automaton, data: bytes) -> tuple[int, bool]:
+        """The length of the longest prefix that the automaton accepts, 0 if none, and whether more data might make it longer."""
         state, best, moves, classes = automaton.start, 0, automaton.moves, automaton.classes
         for i, b in enumerate(data, 1):
             state = moves[state + classes[b]]
             if state >= automaton.first_accepting:
                 best = i
             elif state == automaton.dead:
-                break
-        return best
+                return best, False
+        return best, True
 
     def ends(self, data: bytes) -> list[tuple[int, int]]:
         """(end, state) wherever a match of some rule may end: the one pass over all rules."""
@@ -274,8 +274,8 @@ class Scanner:
                 begin, size = end, 4096
                 while True:  # look back in growing steps
                     back = data[max(low, end - size) : end][::-1]
-                    n = self.furthest(self.backward[k], back)
-                    if n < len(back) or end - size <= low:
+                    n, alive = self.furthest(self.backward[k], back)
+                    if not alive or end - size <= low:
                         break
                     size *= 8
                 if not n:
@@ -284,8 +284,8 @@ class Scanner:
                 reach, size = 0, 4096
                 while True:
                     ahead = data[begin : begin + size]
-                    reach = self.furthest(self.forward[k], ahead)
-                    if reach < len(ahead) or begin + size >= len(data):
+                    reach, alive = self.furthest(self.forward[k], ahead)
+                    if not alive or begin + size >= len(data):
                         break
                     size *= 8
                 done[k] = begin + reach

@@ -51,3 +51,10 @@ def test_query(spark):
         want = brute(texts[r.doc_id])
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w[0] == k for w in want) for k in BASE]
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{b}:{e}" for k, b, e in want).encode()).hexdigest()
+
+
+def test_long_gaps_within_a_match():
+    scanner = Scanner()
+    for gap in (4_085, 4_090, 5_000, 50_000):
+        for text in (f"é token{' ' * gap}= abcdef12 x", f"token={' ' * gap}abcdef12", f"api_key{' ' * gap}:{' ' * gap}'abcdef12"):
+            assert base(scanner, text) == brute(text) != [], (gap, text[:20])
