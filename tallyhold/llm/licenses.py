@@ -3,8 +3,8 @@
 The hashes of all runs of three words of a document are joined with those of the license templates. A
 match votes for its diagonal, the offset between its place in the document and in the template.
 Diagonals at most ``GAP`` apart are merged, since a word put in or left out moves the rest by one; what a
-merged diagonal covers of the template, and the length of its span, decide. Joined runs are verified as
-strings. Templates are fixed, so their side of the join is small. Only DataFrame functions run.
+merged diagonal covers of the template, and the length of its span, decide; if the span is too long, the
+stretch of allowed length in it that covers most does. Joined runs are verified as strings. Templates are fixed, so their side of the join is small. Only DataFrame functions run.
 
 Base labels come from phrases whose words stand consecutively. Null and empty texts have no words and no
 labels; repeated rows each get their row.
@@ -88,8 +88,17 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     near = W.partitionBy("_row", "template").orderBy("diagonal")
     marked = diagonals.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(near) <= GAP, 0).otherwise(1)).withColumn("part", F.sum("new").over(near))
     merged = marked.groupBy("_row", "template", "label", "runs", "part").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.min("low").alias("low"), (F.max("high") + RUN).alias("end"))
+    most = MAX_STRETCH * (F.col("runs") + RUN - 1)
+    group = ["_row", "template", "label", "runs", "part"]
+    whole = W.partitionBy(*group)
+    long = marked.withColumn("span", F.max("high").over(whole) + RUN - F.min("low").over(whole)).filter(F.col("span") > most)
+    ahead = whole.orderBy("at").rangeBetween(0, int(MAX_STRETCH * (max(r[2] for r in template_runs()) + RUN - 1)) - RUN)
+    seen = long.select(*group, "diagonal", F.explode("places").alias("place")).select(*group, (F.col("diagonal") + F.col("place")).alias("at"), "place")
+    stretches = seen.withColumn("next", F.collect_list(F.struct("at", "place")).over(ahead)).withColumn("next", F.filter("next", lambda x: x["at"] + RUN - F.col("at") <= most))
+    fits = F.struct(F.size(F.array_distinct(F.col("next.place"))).alias("covered"), (-F.col("at")).alias("before"), (-(F.array_max("next.at") + RUN)).alias("end"))
+    best = stretches.groupBy(*group).agg(F.max(fits).alias("b")).select(*group, F.col("b.covered").alias("covered"), (-F.col("b.before")).alias("low"), (-F.col("b.end")).alias("end"))
     score = F.col("covered") / F.col("runs")
-    spans = merged.withColumn("score", score).filter((F.col("score") >= LEAST_SHARE) & (F.col("end") - F.col("low") <= MAX_STRETCH * (F.col("runs") + RUN - 1)))
+    spans = merged.filter(F.col("end") - F.col("low") <= most).unionByName(best).withColumn("score", score).filter(F.col("score") >= LEAST_SHARE)
     by_row = spans.groupBy("_row").agg(F.max("score").alias("score"), F.collect_set("label").alias("found"), F.sort_array(F.collect_list(F.struct(F.col("low").alias("start"), "end", "label", "score"))).alias("spans"))
     base = F.concat(*[F.col(f"m.base.p{k}") for k in range(len(PHRASES))])
     base_labels = F.filter(F.array(*[F.when(F.size(f"m.base.p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())

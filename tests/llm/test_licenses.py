@@ -17,3 +17,14 @@ def test_merged_diagonals_and_edges(spark):
     assert rows[3].base_labels == ["mit"] and rows[4].labels == ["bsd"] and rows[4].spans[0].start == 50 and 0.75 < rows[4].score < 1
     assert rows[5].labels == [] and rows[5].score == 0
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_repeated_words_before_a_notice(spark):
+    notice = "No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"
+    more = notice.replace("reproduced", "reproduced again")
+    texts = ["x " + "All rights reserved. " * k + n for k in (1, 3, 4, 10, 200) for n in (notice, more)] + ["All rights reserved. " * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i in range(10):
+        assert rows[i].labels == ["proprietary"] and (rows[i].score == 1 if i % 2 == 0 else rows[i].score > 0.75), (i, rows[i])
+    assert rows[10].labels == [] and rows[10].score == 0
