@@ -2,7 +2,8 @@
 
 A line's path in the tree is its token count and its leading tokens, those with digits generalised to
 ``<*>``; below it lie templates of the remaining tokens: all of them as they are (digits generalised), or
-only the first or the second half, the other half being a variable field. A template recurs if lines of
+only the first or the second half, the other half being a variable field. A line with digits in most of its
+tokens, such as a row of a table, has one template alone, its exact tokens. A template recurs if lines of
 enough documents fit it; such lines are dropped from all documents but the first by (doc_id, text), so
 one copy of everything stays. Templates are keyed by 128-bit hashes; counts have partial sums, so a
 line shared by any number of documents is one row from each task.
@@ -43,7 +44,9 @@ def template_keys(tokens: Column) -> Column:
         first = F.concat(F.lit("1 "), path, F.lit(" "), F.array_join(F.slice(m, F.lit(LEAD + 1), middle - LEAD), " "))
         second = F.concat(F.lit("2 "), path, F.lit(" "), F.array_join(F.slice(m, middle + 1, n - middle), " "))
         hashed = lambda *s: F.array(*[F.unhex(F.md5(x)) for x in s])
-        return F.when(n >= MIN_GENERAL, hashed(whole, first, second)).when(n >= MIN_TOKENS, hashed(whole)).otherwise(F.array().cast("array<binary>"))
+        exact = F.concat(F.lit("0 "), n.cast("string"), F.lit(" "), F.array_join(tokens, " "))
+        mostly_digits = 2 * F.size(F.filter(m, lambda t: t != "<*>")) < n
+        return F.when((n >= MIN_TOKENS) & mostly_digits, hashed(exact)).when(n >= MIN_GENERAL, hashed(whole, first, second)).when(n >= MIN_TOKENS, hashed(whole)).otherwise(F.array().cast("array<binary>"))
 
     return common.let(masked, keys)
 

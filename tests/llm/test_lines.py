@@ -22,3 +22,14 @@ def test_templates_and_edges(spark):
     kept = lines.dedup_lines(docs).collect()
     assert len(kept) == len(rows) - 1 and {r.doc_id for r in kept} == {0, 1, 2, 3, 10, 12, 13, 14, None}
     assert lines.dedup_lines(docs.limit(0)).count() == 0 and lines.dedup_lines(docs).columns == docs.columns
+
+
+def test_rows_of_numbers_differ(spark):
+    rows = [(i, "\n".join(" ".join(str(1000 * i + 10 * k + c) for c in range(n)) for k, n in enumerate((5, 8, 20)))) for i in range(5)]
+    same = "1 22 333 4444 55555"
+    rows += [(10 + i, f"{same}\nitem {i} of the price list of year {2000 + i}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.text for r in lines.drop_recurring(docs).collect()}
+    assert all(found[i] == t for i, t in rows[:6])
+    assert [found[10 + i] for i in (1, 2, 3)] == [""] * 3
+    assert lines.dedup_lines(docs).count() == 6
