@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -39,10 +40,31 @@ def plain_words(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD, -1), lambda w: w != "")
 
 
+def others(docs: DataFrame, *own: str) -> list[str]:
+    """The columns of docs but for those that an operator makes or replaces (own); names are compared as Spark does, without case."""
+    mine = {c.lower() for c in own}
+    return [c for c in docs.columns if c.lower() not in mine]
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A name like this one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def ref(name: str) -> Column:
+    """The column of this very name, dots and all."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share. Only a local session may do without the setting."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # tests and single machines
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -55,6 +77,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing is going to read again."""
+    for t in tables:
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()[:1]}:
+            remove(t.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the shuffle files of jobs that are done: Spark deletes them once the driver's JVM has collected what refers to them, which may take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared storage through Hadoop's file system."""
     jvm = spark.sparkContext._jvm

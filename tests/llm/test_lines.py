@@ -8,28 +8,56 @@ def test_query_against_sql(spark):
     compare(lines.op9_line_templates(spark, sf), lines.OP9_SQL, sf)
 
 
-def test_templates_and_edges(spark):
-    boiler = "this line is the same everywhere"
-    general = "the user of this form has asked about item {} and paid in full"
-    vary = ["alpha", "beta", "gamma", "delta"]
-    rows = [(i, f"own words of text number {w}\n{boiler}\nvisit {i} pages of site {i}\n{general.format(w)}\nok", 1) for i, w in enumerate(vary)]
-    long = " ".join(f"w{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 2)
-    rows += [(10, f"x\n{long}", 1), (11, long, 1), (12, None, 1), (13, "", 1), (14, "\n\n", 1), (0, rows[0][1], 1), (None, "short\nshort", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
-    found = {(r.doc_id, r.text) for r in lines.drop_recurring(docs).collect()}
-    assert (0, rows[0][1]) in found and (1, "own words of text number beta\nok") in found
-    assert (10, f"x\n{long}") in found and (11, "") in found and (12, None) in found and (14, "\n\n") in found
-    kept = lines.dedup_lines(docs).collect()
-    assert len(kept) == len(rows) - 1 and {r.doc_id for r in kept} == {0, 1, 2, 3, 10, 12, 13, 14, None}
-    assert lines.dedup_lines(docs.limit(0)).count() == 0 and lines.dedup_lines(docs).columns == docs.columns
+def left(spark, rows, columns="doc_id long, text string"):
+    return {r.doc_id: r.text for r in lines.drop_recurring(spark.createDataFrame(rows, columns)).collect()}
+
+
+def test_fields_follow_from_what_lines_differ_in(spark):
+    names = ["Alba", "Bea", "Cora", "Dana"]
+    two = "this is for {} whose goods that were ordered from us were sent today to {} by the usual post"
+    found = left(spark, [(i, two.format(n, n.upper())) for i, n in enumerate(names)])
+    assert found[0] == two.format("Alba", "ALBA") and [found[i] for i in (1, 2, 3)] == [""] * 3
+    twice = left(spark, [(i, two.format(n, n.upper())) for i, n in enumerate(names[:2])])
+    assert all(twice.values())  # lines that differ recur from three documents on
+    people = [a + b for a in "ABCDE" for b in "klmn"]
+    many = left(spark, [(i, two.format(people[i % 20], people[i // 2])) for i in range(40)])
+    assert [i for i, t in many.items() if t] == [0]  # names that come back are fields too, as each is rare in its node
+
+
+def test_text_that_does_not_recur_stays(spark):
+    first = "this common opening of a line is followed by"
+    halves = [f"{first} {' '.join(f'{w}{c}' for c in 'abcdefgh')}" for w in ("one", "two", "six", "ten")]
+    assert left(spark, list(enumerate(halves))) == dict(enumerate(halves))
+    run = ["the head of this line is the same in all four of them but {} and then it ends as it began".format(" ".join(f"{w}{c}" for c in "abcd")) for w in ("p", "q", "r", "s")]
+    assert left(spark, list(enumerate(run))) == dict(enumerate(run))  # four in a row are no field
+
+
+def test_passages_of_two_documents(spark):
+    passage = "a first line of seven words here\nshort one\nand a last line of some nine words there"
+    rows = [(1, f"own beginning of the first text\n{passage}\nits end"), (2, f"another beginning of the second text\n{passage}\nover"), (3, "short one")]
+    found = left(spark, rows)
+    assert found[1] == rows[0][1] and found[2] == "another beginning of the second text\nover" and found[3] == "short one"
 
 
 def test_rows_of_numbers_differ(spark):
     rows = [(i, "\n".join(" ".join(str(1000 * i + 10 * k + c) for c in range(n)) for k, n in enumerate((5, 8, 20)))) for i in range(5)]
     same = "1 22 333 4444 55555"
     rows += [(10 + i, f"{same}\nitem {i} of the price list of year {2000 + i}") for i in range(4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r.text for r in lines.drop_recurring(docs).collect()}
+    found = left(spark, rows)
     assert all(found[i] == t for i, t in rows[:6])
     assert [found[10 + i] for i in (1, 2, 3)] == [""] * 3
-    assert lines.dedup_lines(docs).count() == 6
+
+
+def test_edges(spark):
+    boiler = "this line is the same everywhere"
+    long = " ".join(["word", "1" * 100_000, "x" * 3_000_000, *("abc" * 2000)])
+    rows = [(i, f"own words of text number {w}\n{boiler}\nok", 1) for i, w in enumerate(["alpha", "beta"])]
+    rows += [(0, rows[0][1], 1), (10, f"x\n{long}", 1), (11, long, 1), (12, None, 1), (13, "", 1), (14, "\n\n", 1), (None, boiler, 1), (None, None, 1)]
+    docs = spark.createDataFrame([(*r, "k", 5, 6) for r in rows], "doc_id long, text string, sig int, `a.b` string, N_Lines int, drop int")
+    found = {(r.doc_id, r.text) for r in lines.drop_recurring(docs).collect()}
+    assert (0, "own words of text number alpha\nok") in found and (1, "own words of text number beta") in found and (None, boiler) in found
+    assert (10, f"x\n{long}") in found and (11, "") in found and (12, None) in found and (14, "\n\n") in found
+    kept = lines.dedup_lines(docs)
+    assert kept.columns == docs.columns and {(r.sig, r["a.b"], r.N_Lines, r.drop) for r in kept.collect()} == {(1, "k", 5, 6)}
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == [-1, -1, 0, 0, 1, 10, 12, 13, 14]
+    assert lines.dedup_lines(docs.limit(0)).count() == 0
