@@ -1,85 +1,138 @@
-"""Benchmark decontamination by a set of the benchmark's word windows.
+"""Benchmark decontamination by a broadcast hash set of the benchmark's word windows.
 
-An item's windows are its runs of 13 consecutive words, or all its words if it has fewer. Training
-windows are looked up by a hash of their first three words (or fewer, for shorter items) in a set that is
-part of the expression; the few that remain are compared as whole strings in a join. The set is used
-while the benchmark has at most ``MAX_WINDOWS`` windows; beyond that every training window is joined in a
-shuffle, with the same result. Only DataFrame functions run.
+An item's windows are its runs of 13 consecutive words, or all its words if it has fewer. Their 64-bit hashes
+form a hash set, an array of buckets that is computed once and goes to every task; each window of a training
+text is looked up in it. What is found there is compared with the benchmark's windows as strings, in a join, so
+equal hashes alone never count. A set holds ``SET_WINDOWS`` hashes at most (some 100 MB); a larger benchmark is
+dealt to several sets by hash, and the texts are scanned once for each. Only DataFrame functions run.
 
 Null or empty texts have no words and are never contaminated; an item with a null id counts under the
-empty name; repeated documents each get their row, repeated item ids count once; other columns stay out.
+empty name; repeated documents each get their row, repeated item ids count once. The words of a text are held
+in its row, a text of any length in one task. Columns of docs named n_words, spans or items are replaced in
+find_hits; the other functions keep all columns. Empty tables give empty results, or no hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 WINDOW = 13
-MAX_WINDOWS = 200_000
+#: Windows in one broadcast set, at most.
+SET_WINDOWS = 4_000_000
 #: Share of a document's words that must be hit, as one in so many.
 ONE_IN = 20
 
 
+def with_hashes(words: Column, sizes: list[int], body: Callable[[Callable[[Column, int], Column]], Column]) -> Column:
+    """body(h), h(i, n) being the hash of the n words from place i on. Runs of 1, 2, 4 and 8 words are hashed once for all places."""
+    steps = [1]
+    while 2 * steps[-1] <= max(sizes, default=1):
+        steps.append(2 * steps[-1])
+
+    def build(k: int, made: dict[int, Column]) -> Column:
+        if k == len(steps):
+
+            def h(i: Column, n: int) -> Column:
+                parts, at = [], 0
+                for s in reversed(steps):
+                    if n & s:
+                        parts.append(F.get(made[s], i + at))
+                        at += s
+                return F.xxhash64(F.lit(n), *parts)
+
+            return body(h)
+        if k == 0:
+            longer = F.transform(words, lambda w: F.xxhash64(w))
+        else:
+            half = made[steps[k - 1]]
+            longer = F.transform(half, lambda x, i: F.xxhash64(x, F.get(half, i + steps[k - 1])))
+        return common.let(longer, lambda a: build(k + 1, {**made, steps[k]: a}))
+
+    return build(0, {})
+
+
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """Distinct windows: (window, size, items)."""
+    """(item, window, size, hash) of every window of every item."""
     words = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), common.plain_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(WINDOW))
-    each = words.select("item", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.array_join(F.slice("w", i + 1, size), " "))).alias("window"))
-    return each.groupBy("window", "size").agg(F.collect_set("item").alias("items"))
 
+    def windows(w: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(w) - size)
+        hashed = lambda h: F.transform(at, lambda i: F.coalesce(*[F.when(size == n, h(i, n)) for n in range(1, WINDOW + 1)]))
+        return F.arrays_zip(F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, size), " ")).alias("window"), with_hashes(w, list(range(1, WINDOW + 1)), hashed).alias("hash"))
 
-def _head(words: Column, at: Column, n: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + k) for k in range(n)])
+    each = words.select("item", size.alias("size"), F.explode(windows(F.col("w"))).alias("x"))
+    return each.select("item", F.col("x.window").alias("window"), "size", F.col("x.hash").alias("hash")).distinct()
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """Adds to docs, in place of text: n_words, spans (the hit words as sorted (start, end) without overlap) and items (sorted)."""
-    windows = common.written(benchmark_windows(benchmark), "windows")
-    sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # at most 13
-    small = windows.limit(max_windows + 1).count() <= max_windows
-    others = [c for c in docs.columns if c != "text"]
-    words = docs.select(F.struct(*others).alias("_doc"), common.plain_words(F.col("text")).alias("w"))
-
-    def candidates(w: Column) -> Column:
-        if not sizes:
-            return F.array().cast("array<struct<at:int,size:int,window:string>>")
-        places = F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i < F.size(w))
-        if small:
-            heads: dict[int, list] = {}
-            for r in windows.select(F.least("size", F.lit(3)).alias("n"), F.split("window", " ").alias("w")).select("n", F.when(F.col("n") == 1, _head(F.col("w"), F.lit(0), 1)).when(F.col("n") == 2, _head(F.col("w"), F.lit(0), 2)).otherwise(_head(F.col("w"), F.lit(0), 3)).alias("h")).distinct().collect():
-                heads.setdefault(r.n, []).append(r.h)
-            any_of = lambda i: [_head(w, i, n).isin(heads[n]) for n in sorted(heads, reverse=True)]
-
-            def listed(i: Column) -> Column:
-                found = any_of(i)
-                for x in found[1:]:
-                    found[0] = found[0] | x
-                return found[0]
-
-            places = F.filter(places, listed)
-        at = lambda i: F.array(*[F.when(i + k <= F.size(w), F.struct(i.alias("at"), F.lit(k).alias("size"), F.array_join(F.slice(w, i + 1, F.lit(k)), " ").alias("window"))) for k in sizes])
-        return F.filter(F.flatten(F.transform(places, at)), lambda x: x.isNotNull())
-
-    found = words.select("_doc", common.let(F.col("w"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), candidates(w).alias("c"))).alias("m"))
-    base = common.written(found.select(F.monotonically_increasing_id().alias("_row"), "_doc", "m.n_words", "m.c"), "candidates")
-    each = base.select("_row", F.explode("c").alias("c")).select("_row", "c.at", "c.window", "c.size")
-    hits = each.join(F.broadcast(windows) if small else windows, ["window", "size"])
-    by_row = hits.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("size")).alias("end")))).alias("all"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-
-    def merged(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= x["at"])
-        wider = lambda: F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last["at"].alias("at"), F.greatest(last["end"], x["end"]).alias("end"))))
-        return F.when(joins, wider()).otherwise(F.concat(done, F.array(x)))
+def hash_set(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A column of one value, the set of n hashes as an array of buckets, and the number of buckets; a hash lies in the bucket of its remainder."""
+    buckets = 1 << max(0, n - 1).bit_length()
+    held = hashes.groupBy(F.pmod("hash", F.lit(buckets)).cast("int").alias("b")).agg(F.collect_set("hash").alias("hashes"))
+    every = hashes.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(held, "b", "left")
+    filled = F.coalesce("hashes", F.array().cast("array<bigint>"))
+    one = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", filled.alias("hashes")))), lambda x: x["hashes"]).alias("set"))
+    return one.scalar(), buckets
+
 
+def candidates(words: Column, sizes: list[int], found: Column, buckets: int) -> Column:
+    """The windows (at, size, window) whose hashes are in the set."""
+
+    def scan(h: Callable[[Column, int], Column]) -> Column:
+        def search(held: Column) -> Column:
+            def listed(i: Column, n: int) -> Column:
+                return (i + n <= F.size(words)) & common.let(h(i, n), lambda x: F.array_contains(F.get(held, F.pmod(x, F.lit(buckets)).cast("int")), x))
+
+            any_of = lambda i: F.exists(F.array(*[listed(i, n) for n in sizes]), lambda x: x) if len(sizes) > 1 else listed(i, sizes[0])
+            each = lambda i: F.array(*[F.when(listed(i, n), F.struct(i.alias("at"), F.lit(n).alias("size"), F.array_join(F.slice(words, i + 1, F.lit(n)), " ").alias("window"))) for n in sizes])
+            places = F.filter(F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>")), any_of)
+            return F.filter(F.flatten(F.transform(places, each)), lambda x: x.isNotNull())
+
+        return common.let(found, search)
+
+    return with_hashes(words, sizes, scan)
+
+
+def _spans(at: Column) -> Column:
+    """Sorted distinct places as (start, end) of their runs."""
+    starts = F.filter(at, lambda x, i: F.coalesce(F.get(at, i - 1) != x - 1, F.lit(True)))
+    ends = F.transform(F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) != x + 1, F.lit(True))), lambda x: x + 1)
+    return F.transform(F.arrays_zip(starts.alias("at"), ends.alias("end")), lambda x: F.struct(x["at"].alias("at"), x["end"].alias("end")))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, set_windows: int = SET_WINDOWS) -> DataFrame:
+    """Adds to docs, in place of text: n_words, spans (the hit words as sorted (start, end) without overlap) and items (sorted)."""
+    held = common.written(benchmark_windows(benchmark), "windows")
+    sizes = sorted(r.size for r in held.select("size").distinct().collect())  # 13 at most
+    rest = common.others(docs, "text", "n_words", "spans", "items")
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*map(common.ref, rest), F.lit(0).alias("_")).alias("rest"), common.plain_words(F.col("text")).alias("w"))
+    none = F.array().cast("array<struct<at:int,size:int,window:string>>")
+    hashes = held.select("hash").distinct()
+    n = hashes.count()
+    parts = max(1, -(-n // set_windows))
+    scans = []
+    for k in range(parts):
+        found, buckets = hash_set(hashes.filter(F.pmod(F.shiftright("hash", 40), F.lit(parts)) == k), -(-n // parts))
+        c = candidates(F.col("w"), sizes, F.col("held"), buckets) if sizes else none
+        # The set gets its name in a projection of its own, as subqueries can't be written within a lambda; Catalyst puts it back there.
+        scans.append(words.withColumn("held", found).select("row", "rest", F.size("w").cast("long").alias("n_words"), c.alias("c")))
+    base = common.written(scans[0], "candidates")
+    each = base.select("row", F.explode("c").alias("c"))
+    for scan in scans[1:]:
+        each = each.unionByName(scan.select("row", F.explode("c").alias("c")))
+    each = each.select("row", "c.at", "c.size", "c.window")
+    hits = common.written(each.join(held.select("window", "size").distinct(), ["window", "size"]), "hits")
+    places = F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("p")
+    by_row = hits.select("row", places).groupBy("row").agg(F.sort_array(F.collect_set("p")).alias("p")).select("row", common.let(F.col("p"), _spans).alias("spans"))
+    items = hits.select("row", "window", "size").distinct().join(held.select("window", "size", "item"), ["window", "size"]).groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     empty = F.array().cast("array<struct<at:int,end:int>>")
-    spans = F.aggregate("all", empty, merged)
-    return base.drop("c").join(by_row.select("_row", spans.alias("spans"), "items"), "_row", "left").select(
-        "_doc.*", "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
-    )
+    joined = base.drop("c").join(by_row, "row", "left").join(items, "row", "left")
+    return joined.select(*[F.col("rest")[c].alias(c) for c in rest], "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def n_hit(spans: Column) -> Column:
@@ -95,22 +148,24 @@ def _key() -> Column:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated. What counts is the text alone, so it serves as the key, and equal rows share their fate."""
-    found = find_hits(docs.select("text", _key().alias("_key")), benchmark)
-    bad = found.filter(contaminated(F.col("spans"), F.col("n_words"))).select("_key").distinct()
-    return docs.withColumn("_key", _key()).join(bad, "_key", "left_anti").select(*docs.columns)
+    """The documents that aren't contaminated. What counts is the text alone, so its hash serves as the key, and equal rows share their fate."""
+    key = common.fresh(docs, "key")
+    found = find_hits(docs.select("text", _key().alias(key)), benchmark)
+    bad = found.filter(contaminated(F.col("spans"), F.col("n_words"))).select(key).distinct()
+    return docs.withColumn(key, _key()).join(bad, key, "left_anti").select(*map(common.ref, docs.columns))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without the words that are hit, each with what separates it from the next word."""
-    found = find_hits(docs.select("text", _key().alias("_key")), benchmark).filter(F.size("spans") > 0).dropDuplicates(["_key"]).select("_key", "spans")
+    key, spans = common.fresh(docs, "key"), common.fresh(docs, "hit_spans")
+    found = find_hits(docs.select("text", _key().alias(key)), benchmark).filter(F.size("spans") > 0).dropDuplicates([key]).select(key, F.col("spans").alias(spans))
     pieces = F.regexp_extract_all("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     skip = F.when(F.col("text").rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
     word = lambda k: F.floor((k - skip) / 2)
-    keep = lambda x, k: (k < skip) | ~F.exists("spans", lambda s: (s["at"] <= word(k)) & (word(k) < s["end"]))
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(F.filter(pieces, keep), ""))
-    joined = docs.withColumn("_key", _key()).join(found, "_key", "left")
-    return joined.select(*[clean.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    keep = lambda x, k: (k < skip) | ~F.exists(spans, lambda s: (s["at"] <= word(k)) & (word(k) < s["end"]))
+    clean = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(F.filter(pieces, keep), ""))
+    joined = docs.withColumn(key, _key()).join(found, key, "left")
+    return joined.select(*[clean.alias(c) if c.lower() == "text" else common.ref(c) for c in docs.columns])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
