@@ -1,15 +1,18 @@
 """Deterministic sharded WARC writer and its reader.
 
-Pages are sorted by page_id into ranges of about ``RANGE_BYTES`` of payload, whose bounds follow from an
-exact running total and so don't depend on the cluster. A task writes a range's records in order and
-rolls to the next file once ``FILE_BYTES`` of compressed data are reached; headers, record ids and digests
-are made anew from the content, so equal input gives equal files. A file is written under a temporary
+Pages are sorted by (page_id, payload digest) into ranges of about ``RANGE_BYTES`` of payload, or into ``RANGES``
+ranges if that would make more, so that their bounds, which go to every task, are some megabytes at most. The
+bounds follow from an exact running total and so don't depend on the cluster. A task writes one range's records
+in order and rolls to the next file once ``FILE_BYTES`` of compressed data are reached; headers, record ids and
+digests are made anew from the content, so equal input gives equal files. A file is written under a temporary
 name and then renamed, and a manifest lists what belongs to the archive; readers use nothing else, and a
 task that runs twice puts the same file in the same place.
 
 Of records with equal payloads the one with the largest page_id is the response; others revisit it and
 carry no payload. A null html is an empty payload, a null url has no target; a null page_id comes first
 in order and has a record like any other; of rows equal in page_id and payload the first is the response.
+Ids are exact over the whole range of 64 bits. An empty table gives an empty archive; a record is held in memory
+while it is written or read, an archive never is. Columns besides page_id, url and html are left out.
 
 The folder must be one that driver and executors share and that pyarrow's file systems open.
 """
@@ -21,10 +24,11 @@ import hashlib
 import re
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 
 RANGE_BYTES = 16 << 20
+RANGES = 65_536
 FILE_BYTES = 64 << 20
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 0
@@ -96,59 +101,68 @@ class _Files:
             self.part, self.out = self.part + 1, None
 
 
+def range_bounds(facts: DataFrame, range_bytes: int) -> list[tuple[int, str]]:
+    """The first (place, digest) of each range but the first: RANGES - 1 at most."""
+    total = facts.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    step = max(range_bytes, -(-total // RANGES))
+    laid = common.running_total(facts.select(F.lit(0).alias("all"), "at", "digest", "bytes"), "all", ["at", "digest"], "bytes", "start")
+    firsts = laid.groupBy(F.floor(F.col("start") / step).alias("n")).agg(F.min(F.struct("at", "digest")).alias("first")).collect()
+    return sorted({tuple(r.first) for r in firsts if r.n})
+
+
 def write_warc(pages: DataFrame, folder: str, range_bytes: int = RANGE_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes pages (page_id, url, html) to folder; returns the manifest (file, records, bytes, sha256) as read back."""
     spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
     order = F.coalesce(F.col("page_id"), F.lit(FIRST))
     facts = common.written(pages.select("page_id", order.alias("at"), F.sha1(html).alias("digest"), (F.octet_length(html) + 512).cast("long").alias("bytes"), F.octet_length(html).alias("size")), "payloads")
-
-    laid = common.running_total(facts.select(F.lit(0).alias("all"), "at", "bytes"), "all", ["at"], "bytes", "start")
-    # One number for each range of payload, and as many of them as ranges.
-    bounds = sorted(r.last for r in laid.groupBy(F.floor(F.col("start") / range_bytes)).agg(F.max("at").alias("last")).collect())
+    bounds = range_bounds(facts, range_bytes)
 
     keepers = facts.filter(F.col("size") >= LEAST_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1")
-    revisits = facts.select("at", "page_id", "digest").join(keepers, "digest").filter(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("at", "digest", "keeper").distinct()
+    revisits = facts.select("at", "page_id", "digest").join(keepers, "digest").filter(~F.col("page_id").eqNullSafe(F.col("keeper"))).select("at", "page_id", "digest", "keeper").distinct()
 
     @F.pandas_udf("int")
-    def number(at: pd.Series) -> pd.Series:
-        return pd.Series([min(bisect_left(bounds, x), len(bounds) - 1) for x in at])
+    def number(at: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, x) for x in zip(at.tolist(), digest, strict=True)], dtype="int32")
 
     none = lambda kind: F.lit(None).cast(kind)
     rows = pages.select(order.alias("at"), F.lit(1).alias("tag"), "page_id", "url", html.alias("html"), F.sha1(html).alias("digest"), none("long").alias("keeper"))
-    rows = rows.unionByName(revisits.select("at", F.lit(0).alias("tag"), none("long").alias("page_id"), none("string").alias("url"), none("string").alias("html"), "digest", "keeper"))
-    ordered = rows.withColumn("number", number("at")).repartition("number").sortWithinPartitions("number", "at", "tag", "digest", "url")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        files, at, known, copies = None, None, {}, {}
+    rows = rows.unionByName(revisits.select("at", F.lit(0).alias("tag"), "page_id", none("string").alias("url"), none("string").alias("html"), "digest", "keeper"))
+    # One range in each task, so none has more than the others.
+    ranged = rows.withColumn("number", number("at", "digest")).repartitionById(len(bounds) + 1, F.col("number"))
+    ordered = ranged.sortWithinPartitions("number", "at", F.col("page_id").asc_nulls_first(), "digest", "tag", "url")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, now, keeper, copies = None, None, (), 0
+        made = lambda done: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*done, strict=True), [pa.string(), pa.int64(), pa.int64(), pa.string()], strict=True)], names=["file", "records", "bytes", "sha256"])
         for b in batches:
             done = []
-            for row in b.itertuples(index=False):
-                if files is None or files.number != row.number:
+            for n, tag, page_id, url, text, digest, keep in zip(*(b.column(c).to_pylist() for c in ("number", "tag", "page_id", "url", "html", "digest", "keeper")), strict=True):
+                if files is None or files.number != n:
                     if files is not None:
                         files.commit()
                         done += files.done
-                    files = _Files(folder, row.number, file_bytes)
-                if row.at != at:
-                    at, known, copies = row.at, {}, {}
-                if row.tag == 0:
-                    known[row.digest] = None if pd.isna(row.keeper) else int(row.keeper)
+                    files = _Files(folder, n, file_bytes)
+                if now != (page_id, digest):
+                    now, keeper, copies = (page_id, digest), (), 0
+                if tag == 0:
+                    keeper = (keep,)
                     continue
-                page_id = None if pd.isna(row.page_id) else int(row.at)
-                url = None if row.url is None or row.url != row.url else row.url
-                copy = copies[row.digest] = copies.get(row.digest, -1) + 1
-                payload = row.html.encode()
-                again = copy > 0 and len(payload) >= LEAST_REVISIT
-                files.add(record(page_id, url, payload, known.get(row.digest, page_id), row.digest in known or again, copy))
+                payload = text.encode()
+                again = copies > 0 and len(payload) >= LEAST_REVISIT
+                files.add(record(page_id, url, payload, keeper[0] if keeper else page_id, bool(keeper) or again, copies))
+                copies += 1
             if done:
-                yield pd.DataFrame(done, columns=["file", "records", "bytes", "sha256"])
+                yield made(done)
         if files is not None:
             files.commit()
-            yield pd.DataFrame(files.done, columns=["file", "records", "bytes", "sha256"])
+            if files.done:
+                yield made(files.done)
 
-    manifest = ordered.select("number", "at", "tag", "page_id", "url", "html", "digest", "keeper").mapInPandas(write, "file string, records long, bytes long, sha256 string")
+    manifest = ordered.select("number", "tag", "page_id", "url", "html", "digest", "keeper").mapInArrow(write, "file string, records long, bytes long, sha256 string")
     manifest.write.parquet(f"{folder}/manifest")
     common.remove(spark, f"{folder}/temporary")
+    common.discard(facts)
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 
@@ -180,13 +194,13 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
     """The records of the manifest's files: (page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload)."""
+    kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = pafs.FileSystem.from_uri(folder)
-        columns = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-        frame = lambda rows: pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
         for b in batches:
-            for name in b["file"]:
+            for name in b.column("file").to_pylist():
                 rows, held = [], 0
                 with store.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     for data in members(stream):
@@ -201,13 +215,13 @@ def read_warc(folder: str, manifest: DataFrame) -> DataFrame:
                         rows.append((page and int(page), headers.get("WARC-Target-URI"), headers["WARC-Type"], size, digest, refers and int(refers), None if revisit else payload))
                         held += len(block)
                         if held > 8 << 20:
-                            yield frame(rows)
+                            yield made(rows)
                             rows, held = [], 0
-                yield frame(rows)
+                yield made(rows)
 
-    # A fixed number of tasks: the planner sees a few short rows, not the files that they name, and would read all in one task.
-    names = manifest.select("file").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
-    return names.mapInPandas(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+    # Files are dealt out one by one: the planner sees a few short rows, not the files that they name, and would read all in one task.
+    names = manifest.select("file").repartition(max(1, min(manifest.count(), RANGES)))
+    return names.mapInArrow(read, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
 def op2_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

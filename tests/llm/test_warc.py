@@ -35,3 +35,18 @@ def test_files_are_deterministic_and_edges(spark):
     assert sums[0] == sums[1]
     folder = common.shared_dir(spark, "test")
     assert warc.read_warc(folder, warc.write_warc(pages.limit(0), folder)).count() == 0
+
+
+def test_ids_are_exact_and_one_page_id_is_split(spark):
+    big = 2**53
+    ids = [big + 1, big + 3, -(2**63), 2**63 - 1, None, 0]
+    rows = [(i, "u", "same") for i in ids] + [(big + 1, "u", None), (-(2**63), "u", "x")] + [(None, "u", f"{k} " * 2000) for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = common.shared_dir(spark, "test")
+    manifest = warc.write_warc(pages, folder, range_bytes=10_000)
+    assert len({r.file[:13] for r in manifest.collect()}) > 5  # ranges of null page ids alone
+    back = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_warc(folder, manifest).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in (r[0], r[1]))
+    same = [(i, 4, "response" if i == 2**63 - 1 else "revisit", None if i == 2**63 - 1 else 2**63 - 1) for i in ids]
+    assert sorted((r for r in back if r[1] == 4), key=key) == sorted(same, key=key)
+    assert len(back) == len(rows) and (big + 1, 0, "response", None) in back and (-(2**63), 1, "response", None) in back
