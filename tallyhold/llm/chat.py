@@ -4,13 +4,16 @@ Every turn becomes one segment ``### role: text </turn>\n`` whose role and text
 goes before every backslash, ``#``, ``<`` and (in a role) ``:``, so a template mark can't occur inside.
 
 Every assistant turn becomes an example of its own: all turns before it as context, and only its reply
-trainable. The examples of a conversation are prefixes of one string, so an example is stored as the
-length of its context and the bounds of its reply in that string; ``render_examples`` writes the texts
-out. What is stored grows with the turns, not with their square, also in a conversation of any length.
+trainable. The examples are a table with a row for each: where its context ends in the conversation's string,
+that context's digest, and the bounds of its reply. So what is stored grows with the turns, not with their
+square, also in a conversation of any length; ``render_examples`` writes the texts out. ``read_back`` parses
+the segments, holds each example's context against its digest, and takes the replies by the examples' bounds.
 
 Rows of a conversation are ordered by turn (null first), then role and text; a null role or text counts
 as empty, a null conv_id is a conversation like any other, repeated rows are turns like any other, and
-other columns are dropped. One pass over sorted rows keeps a few counters, never a conversation.
+other columns are dropped. Ids are exact over the whole range of 64 bits; empty tables give empty ones. One pass
+over sorted rows keeps a few counters and digests, never a conversation, so one of any length, or a table of null
+ids alone, needs time in one task but no memory: a digest over a conversation's turns can't be split.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,96 +57,122 @@ def format_turns(df: DataFrame) -> DataFrame:
     return ordered.select("conv_id", (role == TARGET).alias("trainable"), segment.alias("segment"))
 
 
-def _runs(ids: pd.Series) -> Iterator[tuple[object, slice]]:
-    """Stretches of equal ids, null equal to null."""
-    values = [None if pd.isna(x) else int(x) for x in ids]
-    start = 0
-    for i in range(1, len(values) + 1):
-        if i == len(values) or values[i] != values[start]:
-            yield values[start], slice(start, i)
-            start = i
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[tuple]]:
+    """Each batch's rows as tuples of Python's own values."""
+    for b in batches:
+        yield list(zip(*(b.column(c).to_pylist() for c in columns), strict=True))
+
+
+def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds.values())], names=list(kinds))
+
+
+#: No conversation: a null id is one of its own.
+NONE = object()
 
 
 def expand_prefix_targets(segments: DataFrame) -> DataFrame:
-    """Adds to each of format_turns' rows its place in the conversation's string and, for an assistant turn, its example.
+    """format_turns' rows, each with its place in the conversation's string, and after an assistant turn's the row of its example.
 
-    Example number ``example`` is that string up to the segment's end: context up to ``at``, and trainable from target_start to target_end.
+    (conv_id, at, segment, example, context_sha256, target_start, target_end): a segment's row has no example, an example's
+    row has no segment and at is where its context ends. Its text is the conversation's string up to target_end and the mark that closes the turn.
     """
+    kinds = {"conv_id": pa.int64(), "at": pa.int64(), "segment": pa.string(), "example": pa.int64(), "context_sha256": pa.string(), "target_start": pa.int64(), "target_end": pa.int64()}
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, n, context = NONE, 0, 0, None
+        for rows in _rows(batches, "conv_id", "segment", "trainable"):
+            out = []
+            for conv, segment, trainable in rows:
+                if now is NONE or conv != now:
+                    now, at, n, context = conv, 0, 0, hashlib.sha256()
+                if trainable:
+                    begin = at + len(OPEN) + len(TARGET) + len(BETWEEN)
+                    out.append((conv, at, None, n, context.hexdigest(), begin, at + len(segment) - len(CLOSE)))
+                    n += 1
+                out.append((conv, at, segment, None, None, None, None))
+                context.update(segment.encode("utf-8", "surrogatepass"))
+                at += len(segment)
+            yield _batch(out, kinds)
+
+    return segments.mapInArrow(expand, "conv_id long, at long, segment string, example long, context_sha256 string, target_start long, target_end long")
+
+
+def segments_of(expanded: DataFrame) -> DataFrame:
+    return expanded.filter("segment IS NOT NULL").select("conv_id", "at", "segment")
 
-    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, at, n, empty = None, 0, 0, True
-        for b in batches:
-            rows = []
-            for conv, part in _runs(b["conv_id"]):
-                if empty or conv != now:
-                    now, at, n, empty = conv, 0, 0, False
-                for segment, trainable in zip(b["segment"][part], b["trainable"][part], strict=True):
-                    begin, end = at + len(OPEN) + len(TARGET) + len(BETWEEN), at + len(segment)
-                    rows.append((conv, segment, at, *((n, begin, end - len(CLOSE)) if trainable else (None, None, None))))
-                    n += trainable
-                    at = end
-            yield pd.DataFrame(rows, columns=["conv_id", "segment", "at", "example", "target_start", "target_end"]).astype(dict.fromkeys(("conv_id", "example", "target_start", "target_end"), "Int64"))
 
-    return segments.mapInPandas(expand, "conv_id long, segment string, at long, example long, target_start long, target_end long")
+def examples_of(expanded: DataFrame) -> DataFrame:
+    """One row for each assistant turn: (conv_id, example, context_chars, context_sha256, target_start, target_end)."""
+    return expanded.filter("example IS NOT NULL").select("conv_id", "example", F.col("at").alias("context_chars"), "context_sha256", "target_start", "target_end")
 
 
 def render_examples(segments: DataFrame) -> DataFrame:
-    """The examples written out, for training files: (conv_id, example, text, target_start, target_end). Holds one conversation's prefix at a time."""
-
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, parts, n, empty = None, "", 0, True
-        for b in batches:
-            for conv, part in _runs(b["conv_id"]):
-                if empty or conv != now:
-                    now, parts, n, empty = conv, "", 0, False
-                for segment, trainable in zip(b["segment"][part], b["trainable"][part], strict=True):
-                    begin = len(parts) + len(OPEN) + len(TARGET) + len(BETWEEN)
-                    parts += segment
-                    if trainable:
-                        yield pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "example": [n], "text": [parts], "target_start": [begin], "target_end": [len(parts) - len(CLOSE)]})
-                        n += 1
-
-    return segments.mapInPandas(render, "conv_id long, example long, text string, target_start long, target_end long")
-
-
-def read_back(segments: DataFrame) -> DataFrame:
-    """Parses the rows of expand_prefix_targets, and digests each conversation's turns and what its examples' loss masks cover."""
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "at").select("conv_id", "segment", "at", "target_start", "target_end")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "expanded_chars"]
-        state = None
-        close = lambda s: (s[0], s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5], s[6], s[7])
-        for b in batches:
-            rows = []
-            for conv, part in _runs(b["conv_id"]):
-                if state is None or state[0] != conv:
-                    if state is not None:
-                        rows.append(close(state))
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                for segment, at, start, end in zip(b["segment"][part], b["at"][part], b["target_start"][part], b["target_end"][part], strict=True):
-                    role, text = parse(segment)
-                    state[1] += 1
-                    state[2].update(f"{role}\n{text}\n".encode())
-                    state[5] += len(segment)
-                    if not pd.isna(start):
-                        loss = unescape(segment[int(start) - at : int(end) - at])
-                        state[3] += len(loss)
-                        state[4].update(loss.encode())
-                        state[6] += 1
-                        state[7] += state[5]
-            yield pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
-        if state is not None:
-            yield pd.DataFrame([close(state)], columns=columns).astype({"conv_id": "Int64"})
-
-    return ordered.mapInPandas(fold, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long")
+    """The examples of format_turns' rows written out, for training files: (conv_id, example, text, target_start, target_end). Holds one conversation's prefix at a time."""
+    kinds = {"conv_id": pa.int64(), "example": pa.int64(), "text": pa.string(), "target_start": pa.int64(), "target_end": pa.int64()}
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, text, n = NONE, "", 0
+        for rows in _rows(batches, "conv_id", "segment", "trainable"):
+            for conv, segment, trainable in rows:
+                if now is NONE or conv != now:
+                    now, text, n = conv, "", 0
+                begin = len(text) + len(OPEN) + len(TARGET) + len(BETWEEN)
+                text += segment
+                if trainable:
+                    yield _batch([(conv, n, text, begin, len(text) - len(CLOSE))], kinds)
+                    n += 1
+
+    return segments.mapInArrow(render, "conv_id long, example long, text string, target_start long, target_end long")
+
+
+def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
+    """Parses segments_of's rows, and digests each conversation's turns and what the examples' loss masks cover."""
+    none = lambda kind: F.lit(None).cast(kind)
+    both = segments.select("conv_id", "at", F.lit(1).alias("tag"), "segment", none("string").alias("context_sha256"), none("long").alias("target_start"), none("long").alias("target_end"))
+    both = both.unionByName(examples.select("conv_id", F.col("context_chars").alias("at"), F.lit(0).alias("tag"), none("string").alias("segment"), "context_sha256", "target_start", "target_end"))
+    ordered = both.repartition("conv_id").sortWithinPartitions("conv_id", "at", "tag")
+    kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_examples": pa.int64(), "expanded_chars": pa.int64()}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = NONE
+        close = lambda: (now, turns, turns_hash.hexdigest(), loss, loss_hash.hexdigest(), size, examples, expanded)
+        for rows in _rows(batches, "conv_id", "at", "tag", "segment", "context_sha256", "target_start", "target_end"):
+            out = []
+            for conv, at, tag, segment, context, start, end in rows:
+                if now is NONE or conv != now:
+                    if now is not NONE:
+                        out.append(close())
+                    now, turns, loss, size, examples, expanded, target = conv, 0, 0, 0, 0, 0, None
+                    turns_hash, loss_hash, string = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+                if tag == 0:
+                    if at != size or context != string.hexdigest():
+                        raise ValueError(f"an example's context is not what comes before it in conversation {conv}")
+                    target = (start, end)
+                    continue
+                role, text = parse(segment)
+                turns += 1
+                turns_hash.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                string.update(segment.encode("utf-8", "surrogatepass"))
+                size += len(segment)
+                if target is not None:
+                    reply = unescape(segment[target[0] - at : target[1] - at])
+                    loss += len(reply)
+                    loss_hash.update(reply.encode("utf-8", "surrogatepass"))
+                    examples, expanded, target = examples + 1, expanded + size, None
+            yield _batch(out, kinds)
+        if now is not NONE:
+            yield _batch([close()], kinds)
+
+    return ordered.mapInArrow(fold, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long")
 
 
 def op4_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     hard = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, TARGET, hard)], "conv_id long, turn long, role string, text string")
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(common.written(expand_prefix_targets(format_turns(turns)), "chat"))
+    expanded = common.written(expand_prefix_targets(format_turns(turns)), "chat")
+    return read_back(segments_of(expanded), examples_of(expanded))
 
 
 OP4_SQL = r"""
