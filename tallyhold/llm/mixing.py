@@ -1,14 +1,23 @@
 """Mixing sources to target weights.
 
 Each source's words, in the order of doc_id, are packed into blocks of ``BLOCK`` words (the last may be
-shorter). Every output shard draws how many blocks it takes from each source from a multinomial whose
-probabilities are what remains of the sources' quotas; a draw beyond a quota is drawn again. A source's
-j-th slot takes block p(j mod blocks), where p is a pseudorandom permutation that changes with every pass
+shorter). The mix has as many slots as its targets need blocks, in output shards of ``SHARD_BLOCKS`` slots.
+
+How many slots a source gets in a shard is drawn from a multinomial. Each source's quota of slots in all is what its
+target needs, but for the slots of one shard, which are drawn by the targets' shares, so that totals vary as one
+shard's draw does. The shards form a binary tree; at each node, the slots of its left half are drawn from a multinomial
+whose probabilities are what the node has left of each source, a draw beyond that being drawn again. A node's
+generator follows from the seed and its place, so any task works out the draws of its shards alone, in a few steps
+down the tree, and with them how many slots of each source come before; the driver holds a number for each source, never one for each shard.
+
+A source's j-th slot takes block p(j mod blocks), where p is a pseudorandom permutation that changes with every pass
 over the source. So no block is used more often than the passes begun, and three at most. Slots are joined
 with the blocks' pieces by index. The seed fixes everything, so reruns agree.
 
 Rows of equal doc_id are packed by size; a null source is a source of its own, null and empty texts have
-no words and none is taken, repeated rows are rows like any other, and clashing columns stay out.
+no words and none is taken, repeated rows are rows like any other, and columns besides doc_id, source and size stay
+out. Empty tables give empty ones. Sizes and targets of all sources are on the driver, so sources must be a name's
+worth of rows there (thousands, not one for each document).
 """
 
 from __future__ import annotations
@@ -18,7 +27,6 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +34,11 @@ from . import common
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
-BLOCK = 64
-#: About 100 MB of text, so the driver's draws come to one row for each source and 100 MB.
-SHARD_BLOCKS = 262_144
+BLOCK = 32
+SHARD_BLOCKS = 512
 SEED = 20_260
-#: Slots that one row expands into, at most.
-CHUNK = 4096
+#: Shards whose draws one row of the plan works out.
+RUN = 64
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[float]:
@@ -69,16 +76,49 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draws(quotas: list[int], shard_blocks: int, seed: int) -> Iterator[tuple[int, list[int]]]:
-    """(shard, blocks of each source)."""
-    rng, left, shard = np.random.Generator(np.random.Philox(seed)), np.array(quotas, np.int64), 0
-    while left.sum():
-        taken, want = np.zeros_like(left), min(shard_blocks, int(left.sum()))
-        while want:
-            some = np.minimum(rng.multinomial(want, left / left.sum()), left)
-            taken, left, want = taken + some, left - some, want - int(some.sum())
-        yield shard, taken.tolist()
-        shard += 1
+def drawn(left: np.ndarray, slots: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of the slots go to each source: multinomial draws by what is left, no more than that of any."""
+    taken = np.zeros_like(left)
+    while slots:
+        rest = left - taken
+        some = np.minimum(rng.multinomial(slots, rest / rest.sum()), rest)
+        taken, slots = taken + some, slots - int(some.sum())
+    return taken
+
+
+def generator(seed: int, *place: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, *place])))
+
+
+def totals_of(quotas: list[float], limits: list[int], shard_blocks: int, seed: int) -> np.ndarray:
+    """Slots of each source: its quota but for a shard's worth of all, which is drawn; no more than its limit."""
+    goal, most = np.array(quotas, float), np.array(limits, np.int64)
+    n = min(round(goal.sum()), int(most.sum()))
+    if not n:
+        return np.zeros(len(goal), np.int64)
+    sure = np.minimum(np.floor(goal * max(0, n - shard_blocks) / n).astype(np.int64), most)
+    rng, found = generator(seed, 0), sure
+    while want := n - int(found.sum()):
+        weight = np.where(found < most, np.maximum(goal - sure, 1e-9), 0)
+        found = np.minimum(found + rng.multinomial(want, weight / weight.sum()), most)
+    return found
+
+
+def shard_draws(totals: np.ndarray, shard_blocks: int, seed: int, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, its slots of each source, the slots of each source before it) of the shards from low to high."""
+    n = int(totals.sum())
+    todo = [(0, -(-n // shard_blocks), totals, np.zeros_like(totals))]
+    while todo:
+        a, b, left, before = todo.pop()
+        if b <= low or a >= high:
+            continue
+        if b - a == 1:
+            yield a, left, before
+            continue
+        mid = (a + b) // 2
+        half = drawn(left, (mid - a) * shard_blocks, generator(seed, 1, a, b))
+        todo.append((mid, b, left - half, before + half))
+        todo.append((a, mid, half, before))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -96,27 +136,32 @@ class Mix:
         goals = targets([t for _, t in totals])
         self.block, self.seed = block, seed
         blocks = [-(-t // block) for _, t in totals]
-        quotas = [min(MOST * b, round(g * b / t)) if t else 0 for (_, t), g, b in zip(totals, goals, blocks, strict=True)]
+        quotas = [g * b / t if t else 0.0 for (_, t), g, b in zip(totals, goals, blocks, strict=True)]
         self.sources = spark.createDataFrame([(i, s, t, g, b) for i, ((s, t), g, b) in enumerate(zip(totals, goals, blocks, strict=True))], "_source int, source string, source_size long, target double, blocks long")
-        counts = [row for _, row in draws(quotas, shard_blocks, seed)]
-        drawn = np.array(counts, np.int64).reshape(len(counts), len(totals))
-        shard, source = np.nonzero(drawn)
-        before = lambda axis: (np.cumsum(drawn, axis=axis) - drawn)[shard, source]
-        self.chunks = int((-(-drawn // CHUNK)).sum())
-        self.plan = pa.table({
-            "shard": shard.astype(np.int32), "shard_size": drawn.sum(axis=1)[shard], "_source": source.astype(np.int32), "blocks": np.array(blocks, np.int64)[source],
-            "first": before(0), "place": before(1), "n": drawn[shard, source],
-        })
+        self.blocks, self.shard_blocks = np.array(blocks, np.int64), shard_blocks
+        self.totals = totals_of(quotas, [MOST * b for b in blocks], shard_blocks, seed)
+        self.shards = -(-int(self.totals.sum()) // shard_blocks)
+
+    def draws(self) -> DataFrame:
+        """(shard, shard_size, _source, blocks, first, place, n): a shard's n slots of a source, after the source's first slots in earlier shards and the shard's place slots of other sources."""
+        totals, blocks, size, seed, shards = self.totals, self.blocks, self.shard_blocks, self.seed, self.shards
+
+        def work_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for low in b["id"].tolist():
+                    for shard, counts, before in shard_draws(totals, size, seed, low, min(low + RUN, shards)):
+                        source = np.flatnonzero(counts)
+                        place = np.cumsum(counts) - counts
+                        yield pd.DataFrame({"shard": shard, "shard_size": counts.sum(), "_source": source, "blocks": blocks[source], "first": before[source], "place": place[source], "n": counts[source]})
+
+        spark = self.rows.sparkSession
+        tasks = max(1, min(-(-shards // RUN), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        return spark.range(0, shards, RUN, tasks).mapInPandas(work_out, "shard long, shard_size long, _source int, blocks long, first long, place long, n long")
 
     def slots(self) -> DataFrame:
         """(shard, position, _source, block): every block of the mix in its place."""
-        spark, seed = self.rows.sparkSession, self.seed
-        low = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1, F.lit(CHUNK))).alias("low")
-        chunks = spark.createDataFrame(self.plan).select("shard", "shard_size", "_source", "blocks", "first", "place", "n", low)
-        # A fixed number of tasks, as the plan's few rows expand into many; the planner would put them into one.
-        spread = chunks.repartition(max(1, min(self.chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))), "shard", "_source", "low")
-        last = F.least(F.col("low") + CHUNK, F.col("n")).cast("int") - 1
-        each = spread.select("shard", "shard_size", "_source", "blocks", "first", "place", F.explode(F.sequence("low", last)).alias("k"))
+        seed = self.seed
+        each = self.draws().select("shard", "shard_size", "_source", "blocks", "first", "place", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
 
         @F.pandas_udf("struct<block:long,position:long>")
         def place(slot: pd.Series, blocks: pd.Series, source: pd.Series, at: pd.Series, size: pd.Series, shard: pd.Series) -> pd.DataFrame:
