@@ -86,23 +86,25 @@ def variants(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def templates(found: DataFrame) -> DataFrame:
-    """(key, template) of variants' lines."""
-    distinct = found.select("node", "masked").distinct()
-    each = distinct.select("node", "masked", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    """(key, template) of variants' lines. Tokens are counted by their hashes, and rows for each token hold no text."""
+    lines = found.withColumn("id", F.xxhash64("masked"))
+    distinct = lines.groupBy("node", "id").agg(F.first("masked").alias("masked"))
+    each = distinct.select("node", "id", F.posexplode(F.transform(F.split("masked", " "), lambda t: F.xxhash64(t))).alias("pos", "token")).filter(F.col("pos") >= LEAD)
     held = each.groupBy("node", "pos", "token").agg(F.count("*").alias("n"))
+    counts = each.join(held, ["node", "pos", "token"]).groupBy("node", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "n"))).alias("n"))
     total = distinct.groupBy("node").agg(F.count("*").alias("total"))
-    tokens = each.join(held, ["node", "pos", "token"]).groupBy("node", "masked").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "n"))).alias("tokens")).join(total, "node")
+    tokens = distinct.join(counts, ["node", "id"]).join(total, "node").select("node", "id", F.split("masked", " ").alias("tokens"), F.col("n.n").alias("n"), "total", "masked")
 
     def general(one_in: int) -> Column:
         least = F.greatest(F.lit(2), F.col("total") / one_in if one_in else F.lit(2))
-        return F.array_join(F.transform("tokens", lambda t: F.when((t["pos"] < LEAD) | (t["token"] == MASK) | (t["n"] >= least), t["token"]).otherwise(FIELD)), " ")
+        return F.array_join(F.transform("tokens", lambda t, i: F.when((i < LEAD) | (t == MASK) | (F.get("n", i - LEAD) >= least), t).otherwise(FIELD)), " ")
 
     def fits(t: Column) -> Column:
         return (ONE_IN * (F.char_length(t) - F.char_length(F.replace(t, F.lit(FIELD)))) <= F.size("tokens")) & ~F.contains(t, F.lit(" ".join([FIELD] * (RUN + 1))))
 
     chosen = F.coalesce(*[common.let(general(s), lambda t: F.when(fits(t), t)) for s in SUPPORTS], F.col("masked"))
-    ours = tokens.select("node", "masked", F.unhex(F.md5(chosen)).alias("template"))
-    return found.join(ours, ["node", "masked"]).select("key", "template")
+    ours = tokens.select("node", "id", F.unhex(F.md5(chosen)).alias("template"))
+    return lines.select("node", "id", "key").join(ours, ["node", "id"]).select("key", "template")
 
 
 def keepers(docs: DataFrame, rows: DataFrame) -> DataFrame:
