@@ -1,6 +1,6 @@
 """Language-model scores: a gated recurrent network over words, with a class-factored output.
 
-Symbols are the end of a text, the ``HEAD`` commonest training words, and one symbol for all other words,
+Symbols are the end of a text, the ``VOCABULARY`` commonest training words, and one symbol for all other words,
 within which a word has its add-one share of the training counts; so every text has a proper probability.
 The network is a gated recurrent unit; its output is P(class) P(symbol | class), classes being bands of the
 symbols by frequency, about as many as a band has symbols. It learns from every training document by truncated
@@ -10,7 +10,9 @@ the rows of words it met. Scoring carries the state through the whole text, acro
 
 Counts are of all training documents and stay in a table. Only the ``HEAD`` commonest words go to the tasks;
 how often any rarer word occurs is found by a join. Null and empty texts consist of their end alone; a
-null doc_id has the empty text's remainder; repeated rows count as often as they occur.
+null doc_id has the empty text's remainder; repeated rows count as often as they occur; empty tables give empty ones.
+A text's words are held in one task, whatever its length, and its state runs from its first word to its end. Columns of
+docs named n_tokens, n_known, base_score or score are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from pyspark.sql.types import StructType
 from . import common
 
 HEAD = 131_072
+#: With the end and the symbol for all others 4,096 symbols, in 64 classes of 64.
+VOCABULARY = 4_094
 HIDDEN = 16
 #: Symbols of the smallest network; a larger vocabulary has a larger one.
 SYMBOLS = 256
@@ -300,14 +304,16 @@ class Model:
         total = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         self.n, self.v = int(total.n), int(total.v)
         top = self._commonest(HEAD)
-        size = shapes(len(top) + 2)["E"][0]
+        own = top[:VOCABULARY]
+        self.vocabulary = len(own)
+        size = shapes(len(own) + 2)["E"][0]
         self.ends = sum(r.n for r in self.counts.filter(F.octet_length("word") == 0).collect())
         head_n = np.array([r.n for r in top], np.int64)
         symbol_counts = np.zeros(size)
-        symbol_counts[END], symbol_counts[2 : 2 + len(top)] = self.ends, head_n
+        symbol_counts[END], symbol_counts[2 : 2 + len(own)] = self.ends, head_n[: len(own)]
         symbol_counts[REST] = max(0, self.n - symbol_counts.sum())
         #: What the add-one counts of the other words, and one for all unseen ones, come to.
-        self.rest = float(symbol_counts[REST] + max(0, self.v - len(top) - (self.ends > 0)) + 1)
+        self.rest = float(symbol_counts[REST] + max(0, self.v - len(own) - (self.ends > 0)) + 1)
         self.head = spark.sparkContext.broadcast(({bytes(r.word): i for i, r in enumerate(top)}, head_n))
         weights = start_weights(symbol_counts)
         part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
@@ -316,27 +322,28 @@ class Model:
         self.weights = weights
 
     def _commonest(self, most: int) -> list:
-        """The commonest words, no more than most: all whose count lies in the upper bands of a logarithmic histogram. Only its few bands and these words come to the driver."""
+        """The most words of the highest counts, of equal ones the first. A histogram of counts tells from which on; only its bands and these words come to the driver."""
         words = self.counts.filter(F.octet_length("word") > 0).withColumn("band", F.floor(F.log2("n") * 64).cast("int"))
-        total, low = 0, None
+        total, low, part = 0, None, None
         for r in words.groupBy("band").agg(F.count("*").alias("words")).orderBy(F.desc("band")).collect():
-            total += r.words
-            if total > most:
+            if total + r.words > most:
+                part = r.band
                 break
-            low = r.band
-        if low is None:
-            return []
-        return sorted(words.filter(F.col("band") >= low).collect(), key=lambda r: (-r.n, bytes(r.word)))
+            total, low = total + r.words, r.band
+        found = words.filter(F.col("band") >= low).collect() if low is not None else []
+        if part is not None and total < most:
+            found += words.filter(F.col("band") == part).orderBy(F.desc("n"), "word").limit(most - total).collect()
+        return sorted(found, key=lambda r: (-r.n, bytes(r.word)))
 
     def _averaged(self, docs: DataFrame, weights: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        head, old = self.head, docs.sparkSession.sparkContext.broadcast(weights)
+        vocabulary, head, old = self.vocabulary, self.head, docs.sparkSession.sparkContext.broadcast(weights)
 
         def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             places, _ = head.value
             trainer, held, n, total = Trainer(old.value), [], 0, 0
             for b in batches:
                 for t in b["text"]:
-                    held.append(symbols(places, tokens(t))[1])
+                    held.append(symbols(places, tokens(t), vocabulary)[1])
                     n += len(held[-1])
                     if n >= HELD:
                         trainer.learn(np.concatenate(held))
@@ -366,8 +373,8 @@ class Model:
 
     def score(self, docs: DataFrame) -> DataFrame:
         """Adds to docs, in place of text: n_tokens, n_known, base_score and score."""
-        head, fitted = self.head, docs.sparkSession.sparkContext.broadcast(self.weights)
-        others = [c for c in docs.columns if c != "text"]
+        vocabulary, head, fitted = self.vocabulary, self.head, docs.sparkSession.sparkContext.broadcast(self.weights)
+        others = common.others(docs, "text", "n_tokens", "n_known", "base_score", "score")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             places, counts = head.value
@@ -384,11 +391,11 @@ class Model:
                 kept.append(b.select(["_row", "_doc"]))
                 for text in b.column("text").to_pylist():
                     words = tokens(text)
-                    at, ids = symbols(places, words)
+                    at, ids = symbols(places, words, vocabulary)
                     known = at[at >= 0]
                     tail = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-                    values = log_counts[known]
-                    rows.append((len(ids), len(known), float(values.sum()), int((ids == REST).sum()), list(tail.keys()), list(tail.values())))
+                    other = at[at >= vocabulary]
+                    rows.append((len(ids), len(known), float(log_counts[known].sum()), int((ids == REST).sum()), float(log_counts[other].sum()), list(tail.keys()), list(tail.values())))
                     texts.append(ids)
                     n += len(ids)
                 if n >= HELD:
@@ -397,10 +404,10 @@ class Model:
             if rows:
                 yield flush()
 
-        names = ["n_tokens", "head_known", "head_all", "rest", "tail", "times", "network"]
-        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
-        numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*others).alias("_doc"), "text")
-        schema = StructType([*numbered.drop("text").schema, *StructType.fromDDL("n_tokens long, head_known long, head_all double, rest long, tail array<binary>, times array<long>, network double")])
+        names = ["n_tokens", "head_known", "head_all", "rest", "head_rest", "tail", "times", "network"]
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        numbered = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*map(common.ref, others), F.lit(0).alias("_")).alias("_doc"), "text")
+        schema = StructType([*numbered.drop("text").schema, *StructType.fromDDL("n_tokens long, head_known long, head_all double, rest long, head_rest double, tail array<binary>, times array<long>, network double")])
         found = common.written(numbered.mapInArrow(run, schema), "scores")
         tail = found.select("_row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("_row", F.col("t.tail").alias("word"), F.col("t.times").alias("times")).join(self.counts, "word")
         by_row = tail.groupBy("_row").agg(F.sum("times").alias("tail_known"), F.sum(F.col("times") * F.round(F.log10(F.col("n") + 1) * SCALE).cast("long")).alias("tail_all"))
@@ -409,16 +416,16 @@ class Model:
         ends = float(np.log10(self.ends + 1))
         known = F.col("head_known") + F.coalesce("tail_known", nothing) + F.lit(1 if self.ends else 0)
         base = F.col("head_all") + more + F.lit(ends) - F.col("n_tokens") * F.lit(float(np.log10(self.n + self.v + 1)))
-        score = F.col("network") + more - F.col("rest") * F.lit(float(np.log10(self.rest)))
+        score = F.col("network") + F.col("head_rest") + more - F.col("rest") * F.lit(float(np.log10(self.rest)))
         joined = found.drop("tail", "times").join(by_row, "_row", "left")
-        return joined.select("_doc.*", "n_tokens", known.alias("n_known"), F.round(base, 9).alias("base_score"), F.round(score, 4).alias("score"))
+        return joined.select(*[F.col("_doc")[c].alias(c) for c in others], "n_tokens", known.alias("n_known"), F.round(base, 9).alias("base_score"), F.round(score, 4).alias("score"))
 
 
-def symbols(places: dict[bytes, int], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the head (-1: not there), and the text's symbols with its end."""
+def symbols(places: dict[bytes, int], words: list[bytes], vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the head (-1: not there), and the text's symbols with its end; the head's first words have symbols."""
     at = np.fromiter(map(places.get, words, repeat(-1)), np.int64, len(words))
     ids = np.full(len(words) + 1, END, np.int32)
-    ids[:-1] = np.where(at >= 0, at + 2, REST)
+    ids[:-1] = np.where((at >= 0) & (at < vocabulary), at + 2, REST)
     return at, ids
 
 

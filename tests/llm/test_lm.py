@@ -67,10 +67,11 @@ def test_query(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, "a b a", 1), (1, "a b a", 1), (None, None, 2), (2, "", 3), (3, "zz É", 4)], "doc_id long, text string, rest int")
+    docs = spark.createDataFrame([(*r, 7, 8) for r in [(1, "a b a", 1), (1, "a b a", 1), (None, None, 2), (2, "", 3), (3, "zz É", 4)]], "doc_id long, text string, rest int, Score int, `_doc.x` int")
     model = lm.Model(docs, F.col("rest") < 4)
     rows = {(r.doc_id, r.n_tokens, r.n_known, r.rest) for r in model.score(docs).collect()}
     assert rows == {(1, 4, 4, 1), (None, 1, 1, 2), (2, 1, 1, 3), (3, 3, 1, 4)}
+    assert {r["_doc.x"] for r in model.score(docs).collect()} == {8}
     empty = docs.limit(0)
     assert lm.Model(empty, F.lit(True)).score(empty).count() == 0
     assert lm.Model(empty, F.lit(True)).score(docs).count() == 5
@@ -109,3 +110,50 @@ def test_every_symbol_of_a_stream_is_learnt():
         stream = np.random.default_rng(n).integers(0, lm.SYMBOLS, n).astype(np.int32)
         trainer.learn(stream)
         assert sum(k for k, _ in seen) == n and all(g > 0 for _, g in seen)
+
+
+def test_score_against_plain_python(spark):
+    words = [f"w{i}" for i in range(40)]
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(words, n, p=np.arange(40, 0, -1) / 820)) for n in (0, 1, 7, 30, 150, 90, 400)] + ["never seen", None, "w0 " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    head, vocabulary = lm.HEAD, lm.VOCABULARY
+    try:
+        lm.HEAD, lm.VOCABULARY = 20, 10
+        model = lm.Model(docs, F.col("doc_id") < 7)
+        rows = {r.doc_id: r for r in model.score(docs).collect()}
+    finally:
+        lm.HEAD, lm.VOCABULARY = head, vocabulary
+    tokens = [[*(t or "").split(), ""] for t in texts]
+    c = Counter(w for ws in tokens[:7] for w in ws)
+    by_count = sorted((w for w in c if w), key=lambda w: (-c[w], w))
+    symbol = {w: i + 2 for i, w in enumerate(by_count[:10])} | {"": lm.END}
+    others = sum(c[w] + 1 for w in c if w not in symbol) + 1
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n, band = lm.HIDDEN, w["bw"].shape[1]
+    for d, ws in enumerate(tokens[:9]):
+        h, x, total = np.zeros(n), lm.END, 0.0
+        for token in ws:
+            gx, gh = w["E"][x], h @ w["U"]
+            r, z = sigmoid(gx[:n] + gh[:n]), sigmoid(gx[n : 2 * n] + gh[n : 2 * n])
+            inner = np.tanh(gx[2 * n :] + r * (gh[2 * n :] + w["bn"]))
+            h = (1 - z) * inner + z * h
+            y = symbol.get(token, lm.REST)
+            of_class, of_word = h @ w["Wc"] + w["bc"], h @ w["Ww"][y // band] + w["bw"][y // band]
+            total += of_class[y // band] - np.log(np.exp(of_class).sum()) + of_word[y % band] - np.log(np.exp(of_word).sum())
+            total += math.log((c[token] + 1) / others) if y == lm.REST else 0
+            x = y
+        assert rows[d].score == pytest.approx(total / math.log(10), rel=1e-4, abs=2e-3), d
+    assert rows[9].n_tokens == 20_001
+
+
+def test_a_band_of_equal_counts_is_cut(spark):
+    docs = spark.createDataFrame([(0, " ".join(f"w{i:03d}" for i in range(300)) + " a a b b")], "doc_id long, text string")
+    head = lm.HEAD
+    try:
+        lm.HEAD = 12
+        model = lm.Model(docs, F.lit(True))
+        assert list(model.head.value[0]) == [b"a", b"b", *(f"w{i:03d}".encode() for i in range(10))]
+    finally:
+        lm.HEAD = head
