@@ -11,6 +11,16 @@ Documents of equal fingerprint are counted as one node before any pairing. Withi
 are compared at growing offsets in their order, and of the links found only those that tie together what
 wasn't yet tied are kept; a large group thus yields as many links as it has members, not their square,
 and loses no connection; a key is left as soon as all in it are tied. Null and empty texts have fingerprint zero, linked like any other.
+
+``near_duplicates`` links by one fingerprint over four-word shingles, as the contract of its query says; its bits differ
+too much for edited copies. ``keep_one``, the corpus stage, looks for copies of similarity ``SIMILAR`` over shingles of
+five words: exact copies are one node; each text has ``PRINTS`` fingerprints over its word pairs, which few edits change
+little, and what the pigeonring links by any of them is compared shingle by shingle; only what is similar enough
+is linked. A pair of that similarity stays unseen if none of its fingerprints is near (1 % of such pairs of sf0.1).
+
+Rows of null doc_id are linked like others and come last where one is chosen; repeated rows are copies; ties are settled by
+content; empty tables give empty ones. A text of any length is hashed in blocks. Columns of docs named fp, root or
+component_id are replaced by near_duplicates; keep_one keeps all.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from . import common
 from .components import components
@@ -30,6 +40,10 @@ from .components import components
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
+PRINTS = 4
+SIMILAR, WORDS = 0.8, 5
+#: Hashes whose bits are added up at once; sums of bits must fit a byte.
+ADDED = 255
 #: (first bit, bits) of the ring's segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
@@ -55,17 +69,67 @@ def fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([fingerprint(t) for t in batch], np.uint64).view(np.int64))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A finalizer that makes every bit depend on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def pair_fingerprints(text: str | None, prints: int = PRINTS) -> list[int]:
+    """Independent fingerprints over the text's different word pairs (one word: itself), signed."""
+    words = _words(text)
+    if not words:
+        return [0] * prints
+    hashed = xxhash.xxh64_intdigest
+    one = np.fromiter((hashed(w) for w in words), np.uint64, len(words))
+    pairs = np.unique(_mixed(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) if len(one) > 1 else one)
+    ones = np.zeros(64 * prints, np.int64)
+    seeds = _mixed(np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for low in range(0, len(pairs), 64 * ADDED):
+        some = _mixed(pairs[low : low + 64 * ADDED, None] ^ seeds)
+        bits = np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
+        for k in range(0, len(bits), ADDED):
+            ones += bits[k : k + ADDED].sum(axis=0, dtype=np.uint8)
+    return np.packbits((2 * ones > len(pairs)).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def all_pair_fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in texts:
+        yield pd.Series([pair_fingerprints(t) for t in batch])
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted different hashes of the runs of WORDS words (fewer: all)."""
+    words = _words(text)
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hashed(b" ".join(words[i : i + WORDS])) for i in range(max(1, len(words) - WORDS + 1))), np.uint64))
+
+
+def similar(a: str | None, b: str | None) -> float:
+    """Jaccard similarity of two texts' shingles."""
+    x, y = shingles(a), shingles(b)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
 def _segment(fp: Column, i: int) -> Column:
     start, bits = SEGMENTS[i % 5]
     return F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << bits) - 1))
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """(fp) to (key, probe, fp): as it is once for each segment, and as a probe for each bit of the segment after it."""
+    """(fp), or (fp, part), to (key, probe, fp): as it is once for each segment, and as a probe for each bit of the segment after it. Only equal parts meet."""
+    part = F.shiftleft(F.col("part").cast("long"), 29) if "part" in nodes.columns else F.lit(0)
     keys = []
     for i in range(5):
         first, second = _segment(F.col("fp"), i), _segment(F.col("fp"), i + 1)
-        base = F.lit(i << 26).bitwiseOR(F.shiftleft(first, 13))
+        base = part.bitwiseOR(F.lit(i << 26)).bitwiseOR(F.shiftleft(first, 13))
         keys.append(F.array(F.struct(base.bitwiseOR(second).alias("key"), F.lit(False).alias("probe"))))
         keys.append(F.array(*[F.struct(base.bitwiseOR(second.bitwiseXOR(F.lit(1 << b))).alias("key"), F.lit(True).alias("probe")) for b in range(SEGMENTS[(i + 1) % 5][1])]))
     return nodes.select("fp", F.explode(F.concat(*keys)).alias("k")).select("k.key", "k.probe", "fp")
@@ -120,7 +184,7 @@ def links_in_batch(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> list[t
         a, b = live[pair], other[pair]
         if len(a):
             difference = fp[a] ^ fp[b]
-            ok = chained(difference, (key[a] >> 26).astype(np.int64))
+            ok = chained(difference, (key[a] >> 26).astype(np.int64) & 7)
             a, b, difference = a[ok], b[ok], difference[ok]
             ok = np.bitwise_count(difference) <= DISTANCE
             for i, j in zip(node[a[ok]], node[b[ok]], strict=True):
@@ -160,23 +224,56 @@ def links(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Adds to docs, in place of text: fp, the fingerprint as a signed number, root, the component's least fingerprint, and component_id, the least doc_id that links lead to (null if none has one)."""
-    marked = common.written(docs.withColumn("fp", fingerprints(F.col("text"))).drop("text"), "fingerprints")
+    rest = common.others(docs, "text", "fp", "root", "component_id")
+    marked = common.written(docs.select(F.struct(*map(common.ref, rest), F.lit(0).alias("_")).alias("rest"), "doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints")
     nodes = common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     ties = components(links(keyed(nodes)))
     placed = nodes.join(ties, nodes["fp"] == ties["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     reach = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(reach, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
-    return marked.join(by_fp, F.col("fp") == F.col("_fp")).drop("_fp")
+    by_fp = placed.join(reach, "root").select(F.col("fp").alias("same"), "root", "component_id")
+    return marked.join(by_fp, F.col("fp") == F.col("same")).select(*[F.col("rest")[c].alias(c) for c in rest], "fp", "root", "component_id")
+
+
+def similar_links(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v): links of nodes (row, prints) whose texts (row, text) are SIMILAR, spanning all that the fingerprints bring together."""
+    spark = nodes.sparkSession
+    each = nodes.select("row", F.posexplode("prints").alias("part", "fp"))
+    reps = common.written(each.groupBy("part", "fp").agg(F.min("row").alias("rep")), "prints")
+    equal = each.join(reps, ["part", "fp"]).filter("row <> rep").select(F.col("row").alias("u"), F.col("rep").alias("v"))
+    near = common.written(links(keyed(reps.select("fp", "part"))), "links")
+    common.release(spark)
+    # A link holds for the part that it was found in; in other parts that have both fingerprints it is but one more candidate.
+    at = lambda end: reps.select("part", F.col("fp").alias(end), F.col("rep").alias(f"{end}_row"))
+    close = near.join(at("u"), "u").join(at("v"), ["part", "v"]).select(F.col("u_row").alias("u"), F.col("v_row").alias("v"))
+    pairs = common.written(equal.unionByName(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("row")).union(pairs.select(F.col("v").alias("row"))).distinct()
+    held = common.written(texts.join(wanted, "row", "left_semi"), "candidates")
+    common.release(spark)
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    both = pairs.join(held.select(F.col("row").alias("u"), F.col("text").alias("a")), "u").join(held.select(F.col("row").alias("v"), F.col("text").alias("b")), "v")
+    return both.filter(alike("a", "b") >= SIMILAR).select("u", "v")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: its least doc_id, and of repeated rows of that one the least by content."""
-    order = [c for c in docs.columns if c not in ("doc_id", "text")]
-    whole = common.written(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "documents")
-    slim = whole.select("_row", "doc_id", "text", F.struct(F.xxhash64("text"), *[F.col(c).cast("string") for c in order]).alias("_order"))
-    found = near_duplicates(slim).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = found.groupBy("root").agg(F.min_by("_row", F.struct("_order", "_row")).alias("_row"))
-    return whole.join(best, "_row", "left_semi").select(*docs.columns)
+    """One document of each group of copies: its least doc_id, and of repeated rows of that one the least by content. Columns are those of docs."""
+    rest = [c for c in docs.columns if c.lower() not in ("doc_id", "text")]
+    held = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.struct(*map(common.ref, rest), F.lit(0).alias("_")).alias("rest"))
+    whole = common.written(held, "documents")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("t"), F.to_json("rest").alias("r"), "row")
+    marked = common.written(whole.select("row", rank.alias("rank"), F.md5(F.coalesce("text", F.lit(""))).alias("same"), all_pair_fingerprints(F.col("text")).alias("prints")), "marked")
+    first = marked.groupBy("same").agg(F.min("rank").alias("rank"), F.min_by("prints", "row").alias("prints"), F.min("row").alias("row"))
+    nodes = common.written(first, "nodes")
+    ties = components(similar_links(whole.select("row", "text"), nodes.select("row", "prints")))
+    placed = nodes.join(ties, nodes["row"] == ties["node"], "left").select("rank", F.coalesce("root", "row").alias("root"))
+    best = common.written(placed.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.row"), "kept")
+    common.discard(marked, nodes)
+    common.release(docs.sparkSession)
+    kept = whole.join(best, "row", "left_semi")
+    return kept.select(*[F.col(c) if c.lower() in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,50 @@ def test_links_against_all_pairs(spark):
 def test_edges(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(5, base, 1), (3, base.upper(), 2), (3, base, 2), (9, None, 3), (8, "", 4), (7, " \n", 4), (None, "lonely text of no id", 5), (None, "lonely text of no id", 5), (4, "word", 6)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
-    kept = sh.keep_one(docs.withColumnRenamed("fp", "size")).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 3, 4, 7]
-    assert sh.keep_one(docs.limit(0)).count() == 0
+    docs = spark.createDataFrame([(*r, 7, 8) for r in rows], "doc_id long, text string, fp int, Root int, row int")
+    kept = sh.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 4, 7]
+    assert sh.keep_one(docs.limit(0)).count() == 0 and sh.near_duplicates(docs.limit(0)).count() == 0
+    found = sh.near_duplicates(docs)
+    assert found.columns == ["doc_id", "row", "fp", "root", "component_id"] and found.filter("component_id = 7").count() == 3
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found.filter("component_id <> 7 OR component_id IS NULL").collect()) == [(0, 0), (0, 0), (3, 3), (3, 3), (4, 4), (5, 3)]
+
+
+def brute_similar(texts):
+    """Pairs of ids whose texts share 0.8 of their five-word shingles or more."""
+    sets = {}
+    for d, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    by = {}
+    for d, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(d)
+    pairs = {(a, b) for ids in by.values() for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    return {(min(p), max(p)) for p in pairs if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+
+
+def test_keep_one_against_all_pairs(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    texts, n = {}, 0
+    for _ in range(120):
+        base = rng.choices(words, k=rng.choice((30, 80, 200, 500)))
+        for share in [0.0, *(rng.choice((0.005, 0.01, 0.02, 0.05, 0.3)) for _ in range(rng.choice((0, 1, 3))))]:
+            texts[n] = " ".join(rng.choice(words) if rng.random() < share else w for w in base)
+            n += 1
+    texts |= {n: texts[0], n + 1: "", n + 2: None}
+    kept = {r.doc_id for r in sh.keep_one(spark.createDataFrame([(d, t, d % 3) for d, t in texts.items()], "doc_id long, text string, row long")).collect()}
+    pairs = brute_similar(texts)
+    up = {d: d for d in texts}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    want = {root(d) for d in texts}
+    assert want <= kept and len(pairs) > 60  # nothing goes that isn't similar to something that stays
+    assert len(texts) - len(kept) >= 0.9 * (len(texts) - len(want))
