@@ -1,12 +1,14 @@
 """Secret scan by one combined deterministic automaton.
 
-All rule regexes become one NFA that may begin at any byte; subset construction and minimisation turn
-it into a transition array, so one pass over a text's bytes finds where any rule ends. For such an
-end, the rule's reversed automaton finds the leftmost start and its anchored automaton the longest end.
+All rule regexes, each up to the shortest text that fits it (its last repetition no longer than it must be), become one
+NFA that may begin at any byte; subset construction and minimisation turn it into a transition array, so one pass over
+a text's bytes finds where a match of any rule is certain. There the rule's reversed automaton finds the leftmost start
+and its anchored automaton the longest end. As no rule's tail stays alive in the array, many rules share a small one.
 
 Rules are regular expressions over ASCII with literals, classes, groups, ``|``, ``?``, ``*``, ``+`` and
 ``{n}``, ``{n,}``; a match is the longest one from its start, and matches of a rule don't overlap.
-Null and empty texts have no spans. Equal rows give equal results; other columns stay as they are.
+Null and empty texts have no spans, empty tables give empty ones, equal rows give equal results. A text of any length takes
+its bytes twice and what it matches. Other columns stay as they are, but for one named like the result, which is replaced.
 """
 
 from __future__ import annotations
@@ -41,8 +43,27 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, value_least=6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
+    # Published forms of other credentials, by prefix and least length.
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
-    Rule("key_block", r"-----BEGIN (RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"),
+    Rule("github_pat", r"github_pat_[A-Za-z0-9_]+", least=60),
+    Rule("gitlab", r"glpat-[A-Za-z0-9_-]+", least=26),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=20),
+    Rule("slack_hook", r"hooks\.slack\.com/services/[A-Za-z0-9/]+", least=60),
+    Rule("stripe", r"[sr]k_(live|test)_[A-Za-z0-9]+", least=24),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),
+    Rule("google_client", r"GOCSPX-[A-Za-z0-9_-]+", least=35),
+    Rule("aws_session", r"ASIA[A-Z0-9]+", least=20),
+    Rule("sendgrid", r"SG\.[A-Za-z0-9_.-]+", least=60),
+    Rule("twilio", r"SK[0-9a-f]+", least=34),
+    Rule("npm", r"npm_[A-Za-z0-9]+", least=40),
+    Rule("pypi", r"pypi-[A-Za-z0-9_-]+", least=60),
+    Rule("huggingface", r"hf_[A-Za-z0-9]+", least=37),
+    Rule("digitalocean", r"do[opr]_v1_[0-9a-f]+", least=71),
+    Rule("shopify", r"shp(at|ca|pa|ss)_[0-9a-f]+", least=38),
+    Rule("square", r"sq0[a-z]+-[A-Za-z0-9_-]+", least=29),
+    Rule("mailgun", r"key-[0-9a-f]+", least=36),
+    Rule("jwt", r"eyJhbGciOi[A-Za-z0-9_.-]+", least=60),
+    Rule("key_block", r"-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED |PGP )?PRIVATE KEY( BLOCK)?-----"),
 )
 BASE = ("assign", "access", "hex")
 
@@ -128,6 +149,13 @@ def reverse(node):
     return (node[0], [reverse(x) for x in (node[1][::-1] if node[0] == "cat" else node[1])])
 
 
+def shortest(node):
+    """The regex with its last repetition as short as it may be: every match begins with one of this."""
+    if node[0] == "cat" and node[1]:
+        return ("cat", [*node[1][:-1], shortest(node[1][-1])])
+    return ("rep", node[1], node[2], node[2]) if node[0] == "rep" and node[2] and node[3] is None else node
+
+
 class _Nfa:
     def __init__(self):
         self.free: list[set[int]] = []  # moves without a byte
@@ -236,9 +264,10 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
         trees = [_Parser(r.pattern, r.ignore_case).alternatives() for r in rules]
-        self.all = compile_rules(trees, True)
+        sure = [shortest(t) for t in trees]
+        self.all = compile_rules(sure, True)
         self.forward = [compile_rules([t], False) for t in trees]
-        self.backward = [compile_rules([reverse(t)], False) for t in trees]
+        self.backward = [compile_rules([reverse(t)], False) for t in sure]
 
     @staticmethod
     def furthest(automaton: Automaton, data: bytes) -> tuple[int, bool]:
@@ -252,14 +281,13 @@ class Scanner:
                 return best, False
         return best, True
 
-    def ends(self, data: bytes) -> list[tuple[int, int]]:
-        """(end, state) wherever a match of some rule may end: the one pass over all rules."""
-        moves, first, state, found = self.all.moves, self.all.first_accepting, self.all.start, []
+    def ends(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """(end, state) wherever a match of some rule is certain: the one pass over all rules."""
+        moves, first, state = self.all.moves, self.all.first_accepting, self.all.start
         for i, c in enumerate(data.translate(self.all.classes), 1):
             state = moves[state + c]
             if state >= first:
-                found.append((i, state))
-        return found
+                yield i, state
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start and then by rule."""
