@@ -33,8 +33,8 @@ from pyspark.sql.types import StructType
 from . import common
 
 HEAD = 131_072
-#: With the end and the symbol for all others 4,096 symbols, in 64 classes of 64.
-VOCABULARY = 4_094
+#: With the end and the symbol for all others 1,024 symbols, in 32 classes of 32.
+VOCABULARY = 1_022
 HIDDEN = 16
 #: Symbols of the smallest network; a larger vocabulary has a larger one.
 SYMBOLS = 256
@@ -45,7 +45,9 @@ BLOCK, SLAB = 512, 16_384
 #: Averages are exact sums of multiples of this, so the order of the tasks doesn't matter.
 UNIT = 2.0**-24
 #: Symbols that a task holds at once.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Rows of a batch that are scored together.
+SLICE = 1024
 SEED = 10
 SCALE = 10**9
 
@@ -387,20 +389,21 @@ class Model:
                 own = [pa.array(list(v), t) for v, t in zip([*found, log10_probabilities(fitted.value, texts)], [*kinds, pa.float64()], strict=True)]
                 return pa.RecordBatch.from_arrays([*(same.column(c).combine_chunks() for c in same.column_names), *own], names=[*same.column_names, *names])
 
-            for b in batches:
-                kept.append(b.select(["_row", "_doc"]))
-                for text in b.column("text").to_pylist():
-                    words = tokens(text)
-                    at, ids = symbols(places, words, vocabulary)
-                    known = at[at >= 0]
-                    tail = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
-                    other = at[at >= vocabulary]
-                    rows.append((len(ids), len(known), float(log_counts[known].sum()), int((ids == REST).sum()), float(log_counts[other].sum()), list(tail.keys()), list(tail.values())))
-                    texts.append(ids)
-                    n += len(ids)
-                if n >= HELD:
-                    yield flush()
-                    kept, rows, texts, n = [], [], [], 0
+            for whole in batches:
+                for b in (whole.slice(low, SLICE) for low in range(0, whole.num_rows, SLICE)):
+                    kept.append(b.select(["_row", "_doc"]))
+                    for text in b.column("text").to_pylist():
+                        words = tokens(text)
+                        at, ids = symbols(places, words, vocabulary)
+                        known = at[at >= 0]
+                        tail = Counter(words[i] for i in np.flatnonzero(at < 0).tolist())
+                        other = at[at >= vocabulary]
+                        rows.append((len(ids), len(known), float(log_counts[known].sum()), int((ids == REST).sum()), float(log_counts[other].sum()), list(tail.keys()), list(tail.values())))
+                        texts.append(ids)
+                        n += len(ids)
+                    if n >= HELD:
+                        yield flush()
+                        kept, rows, texts, n = [], [], [], 0
             if rows:
                 yield flush()
 
