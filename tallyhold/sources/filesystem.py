@@ -5,22 +5,26 @@ Spark's own file sources skip names that begin with a dot or an underscore, so l
 
 from __future__ import annotations
 
+import fcntl
 import json
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import xxhash
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.hashing import EPOCH_TICKS, content_hash_of
+from ..functions.hashing import EPOCH_TICKS, content_hash_of, format_hash
 from ..functions.names import Names
 
+BLOCK = 81_920
 SCHEMA = "key string, is_folder boolean, length long, ticks long"
 
 
@@ -28,11 +32,14 @@ def _utf16(s: str) -> bytes:
     return s.encode("utf-16-be", "surrogatepass")
 
 
-def _children(path: str, skip: str) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
-    """Folders and files, each in ordinal order; links to folders and the temporary folder are left out."""
-    entries = sorted(os.scandir(path), key=lambda e: _utf16(e.name))
-    dirs = [e for e in entries if e.is_dir(follow_symlinks=False) and e.name != skip]
-    return dirs, [e for e in entries if e.is_file()]
+def _children(path: str, skip: tuple[str, ...]) -> tuple[list[os.DirEntry], list[os.DirEntry]]:
+    """Folders and files, each in ordinal order; links to folders, the temporary folder and empty-folder markers are left out."""
+    entries = sorted((e for e in os.scandir(path) if e.name not in skip), key=lambda e: _utf16(e.name))
+    return [e for e in entries if e.is_dir(follow_symlinks=False)], [e for e in entries if e.is_file()]
+
+
+def _hidden(names: Names) -> tuple[str, ...]:
+    return names.temporary, names.empty_marker
 
 
 def _row(root: str, e: os.DirEntry, folder: bool) -> tuple:
@@ -43,18 +50,17 @@ def _row(root: str, e: os.DirEntry, folder: bool) -> tuple:
     return key, False, s.st_size, s.st_mtime_ns // 100 + EPOCH_TICKS
 
 
-def list_folder(root: str, prefix: str, recursive: bool, skip: str) -> Iterator[tuple]:
-    """Rows of SCHEMA below prefix: immediate folders and then files, or all files depth first. A missing folder has none."""
+def list_folder(root: str, prefix: str, recursive: bool, skip: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows of SCHEMA below prefix: immediate folders and then files, or everything depth first. A missing folder has none."""
     top = os.path.join(root, prefix) if prefix else root
     if not os.path.isdir(top):
         return
     if os.path.islink(top):
         raise OSError(f"{prefix!r} is a link")
     dirs, files = _children(top, skip)
-    if not recursive:
-        yield from (_row(root, e, True) for e in dirs)
-    else:
-        for e in dirs:
+    for e in dirs:
+        yield _row(root, e, True)
+        if recursive:
             yield from list_folder(root, os.path.relpath(e.path, root), True, skip)
     yield from (_row(root, e, False) for e in files)
 
@@ -66,26 +72,36 @@ class Subtree(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    #: Folders that are opened to deal a listing out; what lies below the last of them is one task each.
+    OPENED = 256
+
     def __init__(self, options: dict):
         self.root, self.prefix = options["path"], options.get("prefix", "")
-        self.recursive = options.get("recursive", "true") == "true"
-        self.skip = Names(options.get("stem", Names().stem)).temporary
+        self.recursive, self.folders = options.get("recursive", "true") == "true", options.get("folders", "false") == "true"
+        self.skip = _hidden(Names(options.get("stem", Names().stem)))
 
     def partitions(self) -> list[InputPartition]:
-        """One for each folder at the top, and one for the files beside them."""
+        """Breadth first: a folder that is opened lists its own children, one that isn't all below it."""
         top = os.path.join(self.root, self.prefix)
         if not self.recursive or not os.path.isdir(top):
             return [Subtree(self.prefix, False)]
-        dirs, _ = _children(top, self.skip)
-        return [Subtree(self.prefix, False), *(Subtree(os.path.relpath(e.path, self.root), True) for e in dirs)]
+        opened, waiting = [], [self.prefix]
+        while waiting and len(opened) < self.OPENED:
+            now = waiting.pop(0)
+            opened.append(now)
+            waiting += [os.path.relpath(e.path, self.root) for e in _children(os.path.join(self.root, now), self.skip)[0]]
+        return [*(Subtree(x, False) for x in opened), *(Subtree(x, True) for x in waiting)]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
         rows = list_folder(self.root, partition.prefix, partition.recursive, self.skip)
-        return (r for r in rows if not (self.recursive and r[1]))
+        return (r for r in rows if self.folders or not (self.recursive and r[1]))
 
 
 class FolderListing(DataSource):
-    """spark.read.format("folder_listing").option("prefix", ...).option("recursive", ...).load(root), on storage that all executors mount."""
+    """spark.read.format("folder_listing").option("prefix", ...).option("recursive", ...).option("folders", ...).load(root), on storage that all executors mount.
+
+    A recursive listing has objects only, unless folders is true; no task holds more than one folder's names at each depth.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -123,7 +139,7 @@ class Store:
         return self.path(key).read_bytes()
 
     def list(self, prefix: str = "", recursive: bool = False) -> list[tuple]:
-        return list(list_folder(str(self.root), prefix, recursive, self.names.temporary))
+        return [r for r in list_folder(str(self.root), prefix, recursive, _hidden(self.names)) if not (recursive and r[1])]
 
     @contextmanager
     def _staged(self, content: bytes):
@@ -143,6 +159,23 @@ class Store:
         with self._staged(content) as temp:
             os.link(temp, path)
 
+    def upload_from(self, key: str, stream, expected_hash: str) -> None:
+        """Creates an object from a stream, read to its end in blocks; content of another hash raises and leaves nothing behind."""
+        path, folder = self.path(key), self.root / self.names.temporary
+        path.parent.mkdir(parents=True, exist_ok=True)
+        folder.mkdir(parents=True, exist_ok=True)
+        temp, hashed = folder / uuid.uuid4().hex, xxhash.xxh128()
+        try:
+            with temp.open("wb") as out:
+                while block := stream.read(BLOCK):
+                    hashed.update(block)
+                    out.write(block)
+            if format_hash(hashed.digest()) != expected_hash:
+                raise RuntimeError(f"{key!r} changed during the run")
+            os.link(temp, path)
+        finally:
+            temp.unlink(missing_ok=True)
+
     def move(self, key: str, to: str) -> None:
         source, target = self.path(key), self.path(to)
         target.parent.mkdir(parents=True, exist_ok=True)
@@ -175,33 +208,58 @@ class Store:
 
     @contextmanager
     def _guard(self, key: str):
+        """Held by one process at a time, another one raises; the system frees it if its holder dies."""
         folder = self.root / self.names.temporary
         folder.mkdir(parents=True, exist_ok=True)
-        guard = folder / f"guard-{content_hash_of(key.encode())[7:]}"
-        handle = os.open(guard, os.O_CREAT | os.O_EXCL)
-        try:
+        with open(folder / f"guard-{content_hash_of(key.encode())[7:]}", "w") as handle:
+            fcntl.flock(handle, fcntl.LOCK_EX | fcntl.LOCK_NB)
             yield
-        finally:
-            os.close(handle)
-            guard.unlink()
 
     @contextmanager
     def lock(self):
-        """One writer at a time; another one raises."""
+        """One writer of the archive at a time; another one raises."""
         with self._guard("archive"):
             yield
 
 
+def file_hash(path: str | Path) -> str:
+    """The content hash of a file, read in blocks."""
+    with open(path, "rb") as stream:
+        return stream_hash(stream)
+
+
+def stream_hash(stream) -> str:
+    hashed = xxhash.xxh128()
+    while block := stream.read(BLOCK):
+        hashed.update(block)
+    return format_hash(hashed.digest())
+
+
 def locate_root(start: str | Path, names: Names | None = None) -> Path | None:
     """The nearest folder at or above start that holds the root descriptor."""
     names, start = names or Names(), Path(start).resolve()
     return next((p for p in (start, *start.parents) if (p / names.root).is_file()), None)
 
 
-def read_policy(folder: str | Path, names: Names | None = None) -> str:
-    """The folder's format; mirror where no policy is, invalid JSON raises."""
+@dataclass
+class Policy:
+    """A folder's policy. Patterns and options are read and kept, and shape nothing, as in the tool whose archives these are."""
+
+    format: str = "mirror"
+    include: list[str] | None = None
+    exclude: list[str] | None = None
+    options: dict | None = None
+
+    @classmethod
+    def parse(cls, text: str) -> Policy:
+        d = json.loads(text)
+        return cls(d.get("format") or "mirror", d.get("includePatterns"), d.get("excludePatterns"), d.get("options"))
+
+
+def read_policy(folder: str | Path, names: Names | None = None) -> Policy:
+    """The folder's policy; mirror where none is, invalid JSON raises."""
     path = Path(folder) / (names or Names()).policy
-    return json.loads(path.read_text()).get("format", "mirror") if path.is_file() else "mirror"
+    return Policy.parse(path.read_text()) if path.is_file() else Policy()
 
 
 @dataclass
@@ -247,13 +305,18 @@ def resolve_store(store: dict, base: str | Path, names: Names | None = None) ->
     return Store(Path(base) / store["rootPath"], names)
 
 
-def write_zip(path: str | Path, entries: list[tuple[str, bytes, tuple]]) -> None:
-    """A package whose bytes follow from its entries (name, content, date tuple) alone."""
+def write_zip(path: str | Path, entries: Iterable[tuple[str, object, tuple]]) -> None:
+    """A package whose bytes follow from its entries (name, content or a file's path, date tuple) alone; files are read in blocks."""
     with tempfile.TemporaryDirectory(dir=Path(path).parent) as folder:
         temp = Path(folder) / "package"
         with zipfile.ZipFile(temp, "w", zipfile.ZIP_DEFLATED) as z:
             for name, content, date in sorted(entries, key=lambda e: _utf16(e[0])):
                 info = zipfile.ZipInfo(name, max(date, (1980, 1, 1, 0, 0, 0)))
                 info.compress_type = zipfile.ZIP_DEFLATED
-                z.writestr(info, content)
+                with z.open(info, "w", force_zip64=True) as out:
+                    if isinstance(content, bytes):
+                        out.write(content)
+                    else:
+                        with open(content, "rb") as stream:
+                            shutil.copyfileobj(stream, out, BLOCK)
         os.replace(temp, path)

@@ -78,7 +78,7 @@ def test_manifests():
 def test_root_and_policy(tmp_path):
     (tmp_path / "a/b").mkdir(parents=True)
     (tmp_path / N.root).write_text("{}")
-    assert fs.locate_root(tmp_path / "a/b") == tmp_path and fs.read_policy(tmp_path) == "mirror"
+    assert fs.locate_root(tmp_path / "a/b") == tmp_path and fs.read_policy(tmp_path).format == "mirror"
     good = '{"type": "%s", "version": 1, "archiveId": "x", "createdAtUtc": "2026-01-01T00:00:00Z", "stores": [{"id": "A", "kind": "filesystem", "rootPath": "t"}, {"id": "B", "kind": "other"}], "defaultStoreId": "b"}' % N.document_type("backupRoot")
     root = fs.Root.parse(good)
     assert root.store()["id"] == "B" and root.store("a")["id"] == "A" and fs.resolve_store(root.store("a"), tmp_path).root == tmp_path / "t"
@@ -144,3 +144,53 @@ def test_zip_is_deterministic(tmp_path):
     fs.write_zip(tmp_path / "1.zip", entries)
     fs.write_zip(tmp_path / "2.zip", entries[::-1])
     assert (tmp_path / "1.zip").read_bytes() == (tmp_path / "2.zip").read_bytes()
+
+
+def test_policies_empty_folders_and_units(spark, tmp_path):
+    zip_ = '{"format": "zip", "includePatterns": ["*.txt"], "options": {"a": 1}}'
+    source = make(tmp_path / "s", {"a/x.txt": "one", f"pack/in/{N.policy}": zip_, "pack/in/b.txt": "bb", "pack/in/deep/c.txt": "cc", f"pack/in/plain/{N.policy}": "{}", "pack/in/plain/d.txt": "dd", N.root: "{}"})
+    (source.root / "none/inner").mkdir(parents=True)
+    target = make(tmp_path / "t", {"old/deep/1.txt": "1", "old/2.txt": "2", "a/gone.txt": "3", f"{N.history}/{N.history_manifest}": "{}"})
+    (target.root / "bare").mkdir()
+    assert fs.read_policy(source.root / "pack/in") == fs.Policy("zip", ["*.txt"], None, {"a": 1})
+    done = plans.sync(spark, source, target, "20260724T120000Z")
+    keys = sorted(r[0] for r in target.list(recursive=True) if not r[0].startswith(N.history))
+    package = next(k for k in keys if k.endswith(".zip"))
+    assert package.startswith("pack/in.xxh128-") and [k for k in keys if k != package] == [N.change_manifest, "a/x.txt", f"pack/in/plain/{N.policy}", "pack/in/plain/d.txt"]
+    import zipfile
+
+    assert sorted(zipfile.ZipFile(target.path(package)).namelist()) == [N.policy, "b.txt", "deep/c.txt"]
+    assert (target.root / "none/inner" / N.empty_marker).is_file() and target.list("none/inner") == []
+    assert (done.new_count, done.changed_count, done.extra_count) == (5, 0, 4)  # old counts two, bare one, and a/gone.txt
+    assert target.read(f"{N.history}/20260724T120000Z/old/deep/1.txt") == b"1" and (target.root / N.history / "20260724T120000Z/bare").is_dir() and not (target.root / "old").exists()
+    assert not target.exists(f"{N.history}/{N.history_manifest}") and not target.exists(f"{N.history}/{N.history_manifest_invalid}")
+    written = os.stat(target.path(N.change_manifest)).st_mtime_ns
+    assert plans.verify(spark, source, target).completed and plans.verify(spark, source, target, byte_for_byte=True).completed
+    again = plans.sync(spark, source, target, "20260724T120001Z")
+    assert again.unchanged_count == 5 and os.stat(target.path(N.change_manifest)).st_mtime_ns == written  # nothing to say anew
+    source.path("pack/in/b.txt").write_bytes(b"other")
+    part = plans.sync(spark, source, target, "20260724T120002Z", dry_run=True)
+    assert (part.new_count, part.extra_count) == (1, 1)  # a package's name follows from its content
+    with target.lock(), pytest.raises(BlockingIOError):
+        plans.sync(spark, source, target, "20260724T120003Z")
+
+
+def test_part_of_a_source_and_layouts(spark, tmp_path):
+    source = make(tmp_path / "s", {"live/a/x.txt": "one", "live/b.txt": "two"})
+    assert plans.source_prefix(str(source.root / "live/a"), str(source.root), "live") == "live/a" and plans.source_prefix(str(source.root), str(source.root), "live") == "live"
+    assert plans.source_prefix(str(source.root / "a"), str(source.root), "live") == "live/a" and plans.source_prefix(str(source.root), str(source.root)) == ""
+    target = make(tmp_path / "t", {})
+    assert plans.sync(spark, source, target, "20260724T120000Z", prefix="live/a").new_count == 1 and target.read("x.txt") == b"one"
+    for bad in ((N.temporary,), (f"{N.temporary}/x",), ("", N.temporary.upper())):
+        with pytest.raises(ValueError):
+            plans.validate_layout(N, *bad)
+    with pytest.raises(ValueError):
+        plans.validate_layout(N, "a", "a/h", dedup=True)
+    plans.validate_layout(N, "a", "a/h")
+
+
+def test_listing_is_dealt_out(spark, tmp_path):
+    store = make(tmp_path / "s", {f"top/{i}/{k}/f.txt": "x" for i in range(5) for k in range(3)})
+    reader = fs._Reader({"path": str(store.root)})
+    assert len(reader.partitions()) == 1 + 1 + 5 + 15 and plans.listing(spark, store).count() == 15
+    assert plans.listing(spark, store, True).filter("is_folder").count() == 21
