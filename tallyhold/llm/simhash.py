@@ -14,9 +14,10 @@ and loses no connection; a key is left as soon as all in it are tied. Null and e
 
 ``near_duplicates`` links by one fingerprint over four-word shingles, as the contract of its query says; its bits differ
 too much for edited copies. ``keep_one``, the corpus stage, looks for copies of similarity ``SIMILAR`` over shingles of
-five words: exact copies are one node; each text has ``PRINTS`` fingerprints over its word pairs, which few edits change
+five words: exact copies are one node; each text has ``PRINTS`` fingerprints over its different words, which few edits change
 little, and what the pigeonring links by any of them is compared shingle by shingle; only what is similar enough
-is linked. A pair of that similarity stays unseen if none of its fingerprints is near (1 % of such pairs of sf0.1).
+is linked. A pair of that similarity stays unseen if none of its fingerprints is near (10 % of such pairs of sf0.1; 97 % of
+what all pairs would remove goes, as copies hang together by others).
 
 Rows of null doc_id are linked like others and come last where one is chosen; repeated rows are copies; ties are settled by
 content; empty tables give empty ones. A text of any length is hashed in blocks. Columns of docs named fp, root or
@@ -80,28 +81,28 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def pair_fingerprints(text: str | None, prints: int = PRINTS) -> list[int]:
-    """Independent fingerprints over the text's different word pairs (one word: itself), signed."""
+def word_fingerprints(text: str | None, prints: int = PRINTS) -> list[int]:
+    """Independent fingerprints over the text's different words, signed."""
     words = _words(text)
     if not words:
         return [0] * prints
     hashed = xxhash.xxh64_intdigest
     one = np.fromiter((hashed(w) for w in words), np.uint64, len(words))
-    pairs = np.unique(_mixed(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) if len(one) > 1 else one)
+    own = np.unique(_mixed(one))
     ones = np.zeros(64 * prints, np.int64)
     seeds = _mixed(np.arange(1, prints + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for low in range(0, len(pairs), 64 * ADDED):
-        some = _mixed(pairs[low : low + 64 * ADDED, None] ^ seeds)
+    for low in range(0, len(own), 64 * ADDED):
+        some = _mixed(own[low : low + 64 * ADDED, None] ^ seeds)
         bits = np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
         for k in range(0, len(bits), ADDED):
             ones += bits[k : k + ADDED].sum(axis=0, dtype=np.uint8)
-    return np.packbits((2 * ones > len(pairs)).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+    return np.packbits((2 * ones > len(own)).astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
 @F.pandas_udf(ArrayType(LongType()))
-def all_pair_fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def all_word_fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield pd.Series([pair_fingerprints(t) for t in batch])
+        yield pd.Series([word_fingerprints(t) for t in batch])
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -264,7 +265,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     held = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.struct(*map(common.ref, rest), F.lit(0).alias("_")).alias("rest"))
     whole = common.written(held, "documents")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("t"), F.to_json("rest").alias("r"), "row")
-    marked = common.written(whole.select("row", rank.alias("rank"), F.md5(F.coalesce("text", F.lit(""))).alias("same"), all_pair_fingerprints(F.col("text")).alias("prints")), "marked")
+    marked = common.written(whole.select("row", rank.alias("rank"), F.md5(F.coalesce("text", F.lit(""))).alias("same"), all_word_fingerprints(F.col("text")).alias("prints")), "marked")
     first = marked.groupBy("same").agg(F.min("rank").alias("rank"), F.min_by("prints", "row").alias("prints"), F.min("row").alias("row"))
     nodes = common.written(first, "nodes")
     ties = components(similar_links(whole.select("row", "text"), nodes.select("row", "prints")))
