@@ -115,3 +115,43 @@ def test_keep_one_against_all_pairs(spark):
     want = {root(d) for d in texts}
     assert want <= kept and len(pairs) > 60  # nothing goes that isn't similar to something that stays
     assert len(texts) - len(kept) >= 0.9 * (len(texts) - len(want))
+
+
+def test_keep_one_leaves_no_pair_out(spark):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    passage = rng.choices(words, k=60)
+    for size, copies, share in ((60, 60, 0.01), (250, 40, 0.012), (30, 30, 0.02), (9, 40, 0.05), (6, 25, 0.08), (120, 50, 0.03)):  # about the threshold
+        base = rng.choices(words, k=size)
+        texts += [" ".join(rng.choice(words) if rng.random() < share else w for w in base) for _ in range(copies)]
+    for size in (1, 3, 12, 14, 16, 100, 200):  # a passage that many share, with as much of their own
+        texts += [" ".join(passage + rng.choices(words, k=size)) for _ in range(12)]
+    chain = rng.choices(words, k=240)
+    texts += [" ".join(chain[i : i + 100]) for i in range(0, 140, 7)]  # each is similar to the next ones only
+    texts += ["a", "A", "a b", " ", "", None, texts[0].upper(), "a a a a a a a", "a a a a a"]
+    rng.shuffle(texts)
+    texts = dict(enumerate(texts))
+    pairs = brute_similar(texts)
+    up = {d: d for d in texts}
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a, b in pairs:
+        up[max(root(a), root(b))] = min(root(a), root(b))
+    kept = sorted(r.doc_id for r in sh.keep_one(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert len(pairs) > 2000 and kept == sorted({root(d) for d in texts})
+
+
+def test_rows_of_one_key_meet_whatever_their_number():
+    n, at = np.full(30, 40, np.int32), np.zeros(30, np.int32)
+    node, key = np.arange(30), np.full(30, 7)
+    u, v, more = sh.meet_next(key, n, node, at)
+    assert more.all() and {(b - a) for a, b in zip(u, v)} == set(range(1, sh.NEXT + 1))
+    root = np.r_[np.zeros(20, int), np.arange(20, 30)]
+    found = {(int(a), int(b)) for us, vs in sh.meet_rest(n, node, at, root) for a, b in zip(us, vs)}
+    assert found == {(a, b) for a in range(30) for b in range(max(a + 1, 20), 30)}
+    assert [len(x) for x in sh.meet_next(key[:0], n[:0], node[:0], at[:0])] == [0, 0, 0]
