@@ -73,16 +73,28 @@ def marked_lines(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "sig", "line", "m.key", "m.node").filter("key IS NOT NULL")
 
 
+def _places(of: DataFrame) -> tuple[DataFrame, Column]:
+    """common.bits() for the (doc_id, sig) of a table, and the number by which a row with these columns is looked up there. Others may have the same number: this only spares rows a join."""
+    size = 1 << min(max(8 * of.count(), 4096) - 1, common.BIT_SETS * 4096 - 1).bit_length()
+    at = F.pmod(F.xxhash64("doc_id", "sig"), F.lit(size))
+    return common.bits(of.select(at.alias("n"))), at
+
+
 def variants(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, node, masked) of the distinct lines whose nodes have different ones, but for those mostly of digits."""
     mixed = rows.filter("node IS NOT NULL").select("node", F.xxhash64("key").alias("h")).groupBy("node").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("node")
     lines = rows.join(mixed, "node", "left_semi").groupBy("key").agg(F.first("node").alias("node"), F.min(F.struct("doc_id", "sig", "line")).alias("at"))
-    wanted = lines.groupBy(F.col("at.doc_id").alias("of"), F.col("at.sig").alias("same")).agg(F.collect_list(F.struct("key", "node", "at.line")).alias("wanted"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("sig")).join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("same")))
+    wanted = common.written(lines.groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.sig").alias("sig")).agg(F.collect_list(F.struct("key", "node", "at.line")).alias("wanted")), "wanted")
+    common.release(docs.sparkSession)
+    sets, at = _places(wanted)
+    some = common.among(docs.select("doc_id", "text", F.xxhash64("text").alias("sig")), sets, at)
+    texts = some.join(wanted.select(F.col("doc_id").alias("of"), F.col("sig").alias("same"), "wanted"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("same")))
     found = common.let(_lines(F.col("text")), lambda s: F.transform("wanted", lambda x: F.struct(x["key"].alias("key"), x["node"].alias("node"), _masked(common.white_words(F.get(s, x["line"]))).alias("masked"))))
     each = texts.select(F.explode(found).alias("x")).select("x.*")
     digits = F.size(F.filter(F.split("masked", " "), lambda t: t == MASK))
-    return each.filter(2 * digits <= F.size(F.split("masked", " "))).dropDuplicates(["key"])  # a repeated row has a line twice
+    found = common.written(each.filter(2 * digits <= F.size(F.split("masked", " "))).dropDuplicates(["key"]), "variants")  # a repeated row has a line twice
+    common.discard(wanted, sets)
+    return found
 
 
 def templates(found: DataFrame) -> DataFrame:
@@ -110,7 +122,7 @@ def templates(found: DataFrame) -> DataFrame:
 def keepers(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(key, keeper) of all lines that recur; keeper is the (doc_id, sig) that keeps its copy."""
     spark = docs.sparkSession
-    found = common.written(variants(docs, rows), "variants")
+    found = variants(docs, rows)
     common.release(spark)
     of = common.written(templates(found), "templates")
     differ = of.select("template", F.xxhash64("key").alias("h")).groupBy("template").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("template")
@@ -134,7 +146,9 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
     common.discard(rows, kept)
     common.release(docs.sparkSession)
     doc = docs.select("doc_id", "text", F.xxhash64("text").alias("sig"), F.struct(*map(common.ref, common.others(docs, "doc_id", "text", "n_lines", "n_dropped")), F.lit(0).alias("_")).alias("rest"))
-    joined = doc.join(dropped.select(F.col("doc_id").alias("of"), F.col("sig").alias("same"), "drop"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("same")), "left")
+    sets, at = _places(dropped)  # the other texts need no join
+    hold = common.among(doc, sets, at).join(dropped.select(F.col("doc_id").alias("of"), F.col("sig").alias("same"), "drop"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("sig") == F.col("same")), "left").drop("of", "same")
+    joined = hold.unionByName(common.among(doc, sets, at, "left_anti").withColumn("drop", F.lit(None).cast("array<int>")))
     left = F.array_join(F.filter(_lines(F.col("text")), lambda s, i: ~F.array_contains("drop", i)), "\n")
     text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(left)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long")

@@ -379,7 +379,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     close = pairs.select("u", "v").distinct().join(of("u"), "u").join(of("v"), "v").filter(apart <= most)
     close = common.written(close.select("u", "v", "u_row", "v_row"), "pairs")
     wanted = close.select(F.col("u_row").alias("row")).union(close.select(F.col("v_row").alias("row"))).distinct()
-    held = common.written(texts.join(wanted, "row", "left_semi"), "candidates")
+    sets = common.bits(wanted)
+    held = common.written(common.among(texts, sets, F.col("row")), "candidates")
+    common.discard(sets)
     common.release(nodes.sparkSession)
 
     @F.pandas_udf("double")
@@ -441,7 +443,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = common.written(placed.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.row"), "kept")
     common.discard(nodes)
     common.release(docs.sparkSession)
-    kept = whole.join(best, "row", "left_semi")
+    kept = common.among(whole, common.bits(best), F.col("row"))
     return kept.select(*[F.col(c) if c.lower() in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns])
 
 

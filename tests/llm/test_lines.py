@@ -1,6 +1,6 @@
 from oracle import compare
 
-from tallyhold.llm import lines
+from tallyhold.llm import common, lines
 
 
 def test_query_against_sql(spark):
@@ -61,3 +61,22 @@ def test_edges(spark):
     assert kept.columns == docs.columns and {(r.sig, r["a.b"], r.N_Lines, r.drop) for r in kept.collect()} == {(1, "k", 5, 6)}
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == [-1, -1, 0, 0, 1, 10, 12, 13, 14]
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_only_texts_that_lose_lines_are_joined(spark):
+    passage = "a passage of more than five words that comes back"
+    own = lambda i: " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for w in "pqrstu")
+    rows = [(i, own(i) + (f"\n{passage}" if i % 10 == 0 else "")) for i in range(300)]
+    want = {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
+    most, before = common.BIT_SETS, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        for common.BIT_SETS in (most, 0):  # at 0 nearly all rows have the same number as one that loses lines
+            found = lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string"))
+            got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in found.collect()}
+            assert got == {i: (want[i], t.count("\n") + 1, t.count("\n") - want[i].count("\n")) for i, t in rows}
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "LeftAnti" in plan and ("BroadcastHashJoin" in plan) == (common.BIT_SETS > 0)
+    finally:
+        common.BIT_SETS = most
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

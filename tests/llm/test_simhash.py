@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
+from tallyhold.llm import common
 from tallyhold.llm import simhash as sh
 
 
@@ -155,3 +157,31 @@ def test_rows_of_one_key_meet_whatever_their_number():
     found = {(int(a), int(b)) for us, vs in sh.meet_rest(n, node, at, root) for a, b in zip(us, vs)}
     assert found == {(a, b) for a in range(30) for b in range(max(a + 1, 20), 30)}
     assert [len(x) for x in sh.meet_next(key[:0], n[:0], node[:0], at[:0])] == [0, 0, 0]
+
+
+def test_texts_are_not_shuffled_to_choose_among_them(spark):
+    rows = [(i, " ".join(f"w{i % 50}x{k}" for k in range(30))) for i in range(200)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if all tables were large
+        kept = sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(50))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_numbers_as_bits(spark):
+    numbers = sorted({0, 63, 64, 4095, 4096, 5 << 33, (5 << 33) + 4097, (1 << 62) + 77, *range(7000, 9000, 3)})
+    docs = spark.createDataFrame([(n + d, "t") for n in numbers for d in (0, 1)], "number long, text string").distinct()
+    most = common.BIT_SETS
+    try:
+        for common.BIT_SETS in (most, 0):  # sent to all, and joined as a table
+            sets = common.bits(spark.createDataFrame([(n,) for n in [*numbers, 64]], "n long"))
+            assert sorted(r.number for r in common.among(docs, sets, F.col("number")).collect()) == numbers
+            left = sorted(r.number for r in common.among(docs, sets, F.col("number"), "left_anti").collect())
+            assert left == sorted({n + 1 for n in numbers} - set(numbers))
+    finally:
+        common.BIT_SETS = most
+    assert common.among(docs, common.bits(spark.createDataFrame([], "n long")), F.col("number")).count() == 0
