@@ -127,22 +127,39 @@ def changed(old: dict[str, np.ndarray], found: Iterable[tuple[int, np.ndarray]])
     return w
 
 
+def _gates(w, gx: np.ndarray, h: np.ndarray):
+    """One step of the unit for all lanes, which are the last axis, so that each gate is contiguous; gx holds the inputs' share."""
+    gh = w["U"].T @ h
+    gates = gx[: 2 * HIDDEN] + gh[: 2 * HIDDEN]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    r, z = gates[:HIDDEN], gates[HIDDEN:]
+    inner = gh[2 * HIDDEN :]
+    inner += w["bn"][:, None]
+    n = r * inner
+    n += gx[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (r, z, n, inner)
+
+
 def _step(w, x: np.ndarray, h: np.ndarray):
-    """One step of the unit for all lanes."""
-    gx, gh = w["E"][x], h @ w["U"]
-    gates = 1 / (1 + np.exp(-(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])))
-    r, z = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    inner = gh[:, 2 * HIDDEN :] + w["bn"]
-    n = np.tanh(gx[:, 2 * HIDDEN :] + r * inner)
-    return n + z * (h - n), (r, z, n, inner)
+    """The same with lanes as the first axis."""
+    new, gates = _gates(w, np.ascontiguousarray(w["E"].take(x, axis=0).T), h.T)
+    return new.T, tuple(g.T for g in gates)
 
 
-def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, y: np.ndarray, grad: tuple | None = None):
-    """Log-probabilities of y at states h; with grad (of weights and bias), adds to it and returns that of h too. Over the first axis, so that the sums run along memory."""
+def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, y: np.ndarray, grad: tuple | None = None, small: bool = False):
+    """Log-probabilities of y at states h; with grad (of weights and bias), adds to it and returns that of h too. Over the first axis, so that the sums run along memory. small: no sum can be too large for exp."""
     at, ones = np.arange(len(y)), np.ones(max(len(bias), len(y)), h.dtype)
     a = weights.T @ h.T
     a += bias[:, None]
-    a -= a.max(axis=0)
+    if not small:
+        a -= a.max(axis=0)
     logp = a[y, at]
     np.exp(a, out=a)
     total = ones[: len(a)] @ a
@@ -159,19 +176,21 @@ def _softmax(weights: np.ndarray, bias: np.ndarray, h: np.ndarray, y: np.ndarray
 def _outputs(w, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
     """Natural log-probabilities of symbols y at states h; with grad, adds the weights' gradients of the loss and returns that of h too."""
     classes, _, band = w["Ww"].shape
+    most = max(np.abs(w[k]).sum(axis=-2).max() for k in ("Wc", "Ww")) * np.abs(h).max(initial=0) + max(np.abs(w[k]).max() for k in ("bc", "bw"))
+    small = bool(most < 60)
     order = np.argsort(y // band, kind="stable")
     states, cls, member = h[order], (y // band)[order], (y % band)[order]
     logp, dh = np.empty(len(y), h.dtype), np.empty_like(h) if grad is not None else None
     for low in range(0, len(y), BLOCK):
         part = slice(low, low + BLOCK)
-        logp[part], d = _softmax(w["Wc"], w["bc"], states[part], cls[part], grad and (grad["Wc"], grad["bc"]))
+        logp[part], d = _softmax(w["Wc"], w["bc"], states[part], cls[part], grad and (grad["Wc"], grad["bc"]), small)
         if grad is not None:
             dh[part] = d
     edges = np.searchsorted(cls, np.arange(classes + 1))
     for c in np.flatnonzero(np.diff(edges)).tolist():
         for low in range(int(edges[c]), int(edges[c + 1]), BLOCK):
             part = slice(low, min(low + BLOCK, int(edges[c + 1])))
-            more, d = _softmax(w["Ww"][c], w["bw"][c], states[part], member[part], grad and (grad["Ww"][c], grad["bw"][c]))
+            more, d = _softmax(w["Ww"][c], w["bw"][c], states[part], member[part], grad and (grad["Ww"][c], grad["bw"][c]), small)
             logp[part] += more
             if grad is not None:
                 dh[part] += d
@@ -198,34 +217,53 @@ class Trainer:
         w, grad, past, states = self.w, self.grad, [], []
         for k, g in grad.items():
             g[self.rows if k == "E" else ...] = 0
+        # Within, lanes are the last axis.
+        gx, going = np.ascontiguousarray(w["E"].take(x, axis=0).transpose(0, 2, 1)), (x != END).astype(h.dtype)
+        h = np.ascontiguousarray(h.T)
         for t in range(len(x)):
-            h = h * (x[t] != END)[:, None]
-            new, gates = _step(w, x[t], h)
+            h = h * going[t]
+            new, gates = _gates(w, gx[t], h)
             past.append((h, gates))
             states.append(new)
             h = new
-        states, back, inputs = np.stack(states), np.zeros_like(h), []
-        dhs = np.zeros_like(states)
+        states, back = np.stack(states).transpose(0, 2, 1), np.zeros_like(h)
+        dhs = np.zeros(states.shape, h.dtype)
         _, dhs[live] = _outputs(w, states[live], y[live], grad)
+        dhs = np.ascontiguousarray(dhs.transpose(0, 2, 1))
+        inputs = np.empty((len(x), len(x[0]), 3 * HIDDEN), h.dtype)
         for t in range(len(x) - 1, -1, -1):
             before, (r, z, n, inner) = past[t]
-            d = dhs[t] + back
-            dn = d * (1 - z) * (1 - n * n)
-            dz, dr = d * (before - n) * z * (1 - z), dn * inner * r * (1 - r)
-            dinner = dn * r
-            dgh = np.concatenate([dr, dz, dinner], axis=1)
-            dgx = np.concatenate([dr, dz, dn], axis=1)
-            grad["U"] += before.T @ dgh
-            grad["bn"] += dinner.sum(axis=0)
-            inputs.append(dgx)
-            back = (d * z + dgh @ w["U"].T) * (x[t] != END)[:, None]
+            d = dhs[t]
+            d += back
+            dgh = np.empty((3 * HIDDEN, d.shape[1]), d.dtype)
+            dr, dz, dinner = dgh[:HIDDEN], dgh[HIDDEN : 2 * HIDDEN], dgh[2 * HIDDEN :]
+            dn, open_z = n * n, 1 - z
+            np.subtract(1, dn, out=dn)
+            dn *= open_z
+            dn *= d
+            np.subtract(before, n, out=dz)
+            dz *= z
+            back = d * z
+            dz *= open_z
+            dz *= d
+            np.multiply(dn, r, out=dinner)
+            np.subtract(1, r, out=dr)
+            dr *= dinner
+            dr *= inner
+            grad["U"] += before @ dgh.T
+            grad["bn"] += dinner.sum(axis=1)
+            own = inputs[len(x) - 1 - t]
+            own[:, : 2 * HIDDEN] = dgh[: 2 * HIDDEN].T
+            own[:, 2 * HIDDEN :] = dn.T
+            back += w["U"] @ dgh
+            back *= going[t]
         ids = x[::-1].ravel()
         order = np.argsort(ids, kind="stable")
         ids, first = np.unique(ids[order], return_index=True)
         self.rows = ids
-        grad["E"][ids] = np.add.reduceat(np.concatenate(inputs)[order], first, axis=0)
+        grad["E"][ids] = np.add.reduceat(inputs.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
         self.adam(grad, int(live.sum()))
-        return h
+        return h.T
 
     def adam(self, grad: dict[str, np.ndarray], n: int) -> None:
         self.steps += 1
@@ -281,19 +319,21 @@ def log10_probabilities(w: dict[str, np.ndarray], texts: list[np.ndarray]) -> np
     owner = np.repeat([i for x in own for i in x], [sizes[i] for x in own for i in x])
     out, h = np.zeros(len(texts)), np.zeros((lanes, HIDDEN), np.float32)
     x = np.full(lanes, END)
-    for low in range(0, int(load[0]), 64):
-        states, at = [], []
-        for t in range(low, min(low + 64, int(load[0]))):
-            live = int(np.searchsorted(-load, -t))  # lanes are sorted by load, so the live ones come first
-            h, x = h[:live] * (x[:live] != END)[:, None], x[:live]
-            h, _ = _step(w, x, h)
-            where = start[:live] + t
-            x = y[where]
-            states.append(h)
-            at.append(where)
-        where = np.concatenate(at)
-        logp, _ = _outputs(w, np.concatenate(states), y[where])
-        out += np.bincount(owner[where], logp, len(texts))
+    states, at, held = [], [], 0
+    for t in range(int(load[0])):
+        live = int(np.searchsorted(-load, -t))  # lanes are sorted by load, so the live ones come first
+        h, x = h[:live] * (x[:live] != END)[:, None], x[:live]
+        h, _ = _step(w, x, h)
+        where = start[:live] + t
+        x = y[where]
+        states.append(h)
+        at.append(where)
+        held += live
+        if held >= 64 * LANES or t + 1 == load[0]:  # by symbols, not by steps: few lanes are live once only long texts are left
+            where = np.concatenate(at)
+            logp, _ = _outputs(w, np.concatenate(states), y[where])
+            out += np.bincount(owner[where], logp, len(texts))
+            states, at, held = [], [], 0
     return out / np.log(10)
 
 

@@ -157,3 +157,16 @@ def test_a_band_of_equal_counts_is_cut(spark):
         assert list(model.head.value[0]) == [b"a", b"b", *(f"w{i:03d}".encode() for i in range(10))]
     finally:
         lm.HEAD = head
+
+
+def test_long_texts_are_scored_in_few_lots(monkeypatch):
+    w = lm.start_weights(np.ones(lm.SYMBOLS))
+    texts = [np.array([*np.random.default_rng(i).integers(1, 256, n), 0], np.int32) for i, n in enumerate((20_000, 70, 0, 9_000))]
+    seen, outputs = [], lm._outputs
+    monkeypatch.setattr(lm, "_outputs", lambda w, h, y, grad=None: seen.append(len(y)) or outputs(w, h, y, grad))
+    together = lm.log10_probabilities(w, texts)
+    assert len(seen) == 1 and sum(seen) == sum(map(len, texts))
+    assert together == pytest.approx([lm.log10_probabilities(w, [t])[0] for t in texts], rel=1e-4)
+    many = [np.full(2_000, 7, np.int32)] * 40
+    seen.clear()
+    assert len(set(np.round(lm.log10_probabilities(w, many), 3))) == 1 and len(seen) == 3 and sum(seen) == 80_000
