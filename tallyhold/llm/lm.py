@@ -320,18 +320,18 @@ def log10_probabilities(w: dict[str, np.ndarray], texts: list[np.ndarray]) -> np
     out, h = np.zeros(len(texts)), np.zeros((lanes, HIDDEN), np.float32)
     x = np.full(lanes, END)
     states, at, held = [], [], 0
-    for t in range(int(load[0])):
-        live = int(np.searchsorted(-load, -t))  # lanes are sorted by load, so the live ones come first
+    lives = np.searchsorted(-load, -np.arange(load[0])).tolist()  # lanes are sorted by load, so the live ones come first
+    for t, live in enumerate(lives):
         h, x = h[:live] * (x[:live] != END)[:, None], x[:live]
         h, _ = _step(w, x, h)
         where = start[:live] + t
         x = y[where]
-        states.append(h)
+        states.append(h.T)  # contiguous
         at.append(where)
         held += live
         if held >= 64 * LANES or t + 1 == load[0]:  # by symbols, not by steps: few lanes are live once only long texts are left
             where = np.concatenate(at)
-            logp, _ = _outputs(w, np.concatenate(states), y[where])
+            logp, _ = _outputs(w, np.concatenate(states, axis=1).T.copy(), y[where])
             out += np.bincount(owner[where], logp, len(texts))
             states, at, held = [], [], 0
     return out / np.log(10)
